@@ -55,8 +55,9 @@ def choose_template(findings: DataFrame, templates: DataFrame) -> DataFrame:
     lang, kind, alg = F.col("patch_language"), F.col("crypto_type"), F.lower("algorithm")
     cands = F.array(F.concat_ws("_", lang, kind, alg), F.concat_ws("_", lang, kind), F.concat(lang, F.lit("_generic")), F.lit("generic"))
     names = templates.agg(F.collect_set("name").alias("names")).scalar()
-    chosen = F.get(F.filter(cands, lambda c: F.array_contains(names, c)), F.lit(0))
-    return findings.withColumn("template_name", chosen)
+    known = findings.withColumn("_names", names)
+    chosen = F.get(F.filter(cands, lambda c: F.array_contains(F.col("_names"), c)), F.lit(0))
+    return known.withColumn("template_name", chosen).drop("_names")
 
 
 VARIABLES = {"File": "path", "Language": "patch_language", "Algorithm": "algorithm", "CryptoType": "crypto_type", "Line": "line",

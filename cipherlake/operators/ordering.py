@@ -9,15 +9,16 @@ _SAMPLE = 2048
 _BUCKETS = 256
 
 
-def value_buckets(df: DataFrame, order: Column, buckets: int = _BUCKETS) -> Column:
-    """Range bucket of an order key.  Boundaries come from the 2,048 keys of smallest hash: a
+def with_bucket(df: DataFrame, order: Column, buckets: int = _BUCKETS) -> DataFrame:
+    """Add the range bucket of an order key.  Boundaries come from the 2,048 keys of smallest hash: a
     uniform sample of fixed size, the same on every run, so buckets survive task retries."""
     sample = (df.select(order.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(_SAMPLE)
               .agg(F.array_sort(F.collect_list("k")).alias("ks")))
     n = F.size("ks")
     step = F.greatest(F.lit(1), F.floor(n / buckets).cast("int"))
     bounds = sample.select(F.filter("ks", lambda x, i: (i % step) == 0).alias("bounds"))
-    return F.coalesce(F.size(F.filter(bounds.scalar(), lambda b: b <= order)), F.lit(0))
+    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= order)), F.lit(0))
+    return df.withColumn("_bounds", bounds.scalar()).withColumn("_bucket", bucket).drop("_bounds")
 
 
 def global_index(df: DataFrame, *order: str, name: str = "seq", buckets: int = _BUCKETS) -> DataFrame:
@@ -26,7 +27,7 @@ def global_index(df: DataFrame, *order: str, name: str = "seq", buckets: int = _
     Rows are numbered inside value ranges, and each range starts after the rows of the ranges
     before it: one small aggregate plus one window per range."""
     key = F.struct(*order)
-    tagged = df.withColumn("_bucket", value_buckets(df, key, buckets))
+    tagged = with_bucket(df, key, buckets)
     sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     # one row per range, at most a few thousand
     starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cipherlake import fixed_rules as R
 from cipherlake import fixed_values as V
@@ -125,7 +126,7 @@ def select_rules(rules: DataFrame, enabled_ids: DataFrame | None = None,
     return out
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _compiles(patterns: pd.Series) -> pd.Series:
     import re
 

@@ -48,8 +48,10 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def encoder_stages() -> list:
-    """Alphabetical label codes; unseen labels get the last index and are mapped to 0 afterwards."""
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep") for c in CATEGORICAL]
+    """Alphabetical label codes, all columns counted in one pass; unseen labels get the last index
+    and are mapped to 0 afterwards."""
+    return [StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_code" for c in CATEGORICAL], stringOrderType="alphabetAsc",
+                          handleInvalid="keep")]
 
 
 def _assembler() -> VectorAssembler:
@@ -70,9 +72,8 @@ def _clean(df: DataFrame) -> DataFrame:
 def encode(df: DataFrame, encoder: PipelineModel) -> DataFrame:
     """Apply the encoder; a label unseen in training becomes 0."""
     out = encoder.transform(_clean(df))
-    for stage in encoder.stages:
-        n = float(len(stage.labels))
-        c = stage.getOutputCol()
+    for c, labels in zip(encoder.stages[0].getOutputCols(), encoder.stages[0].labelsArray):
+        n = float(len(labels))
         out = out.withColumn(c, F.when(F.col(c) >= n, F.lit(0.0)).otherwise(F.col(c)))
     return _assembler().transform(out)
 

@@ -20,7 +20,8 @@ def q(s: str) -> str:
 
 
 def num(x) -> str:
-    return f"{float(x)!r}e0"
+    text = repr(float(x))
+    return text if "e" in text else text + "e0"
 
 
 def lit(x) -> str:

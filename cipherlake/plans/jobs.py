@@ -126,7 +126,7 @@ def fleet_analysis_from_files(spark: SparkSession, path: str) -> dict[str, DataF
 
 def evaluation_run(findings: DataFrame, floor: float, limit: int, batch_size: int, responses: DataFrame | None = None) -> dict[str, DataFrame]:
     """Selection, cost estimate and batches; with responses (batch_id, response) also the join back."""
-    chosen = PO.filter_for_evaluation(findings, floor, limit)
+    chosen = cut(PO.filter_for_evaluation(findings, floor, limit))  # read by several outputs
     batched = EV.assign_batches(chosen, batch_size)
     out = {"selected": chosen, "costs": EV.cost_estimate(chosen), "batches": batched}
     if responses is not None:

@@ -27,6 +27,7 @@ from cipherlake.plans import checks as K
 from cipherlake.plans import queries as Q
 from cipherlake.plans.checks import BASE, CRITICALITY, LIB_NAME, OVERALL, REL, SEV_ORDER, SUMMARY_W, language
 from cipherlake.plans.queries import adjusted, as_of, base, base_files, files, found_at, l0, listing, n64, query, r6, read, risk, scored
+from cipherlake.session import checkpoint
 from cipherlake.sources import corpus as C
 from cipherlake.sources import results as RS
 
@@ -216,14 +217,19 @@ def evaluations(seq):
                                                    (F.col("line") % 2 == 0).alias("is_valid"), (0.25 * (F.col("line") % 4 + 1)).alias("confidence"), "severity")
 
 
+def stored_l0(s, d):
+    """Findings that several passes read, written once to the checkpoint folder."""
+    return checkpoint(l0(s, d))
+
+
 def labelled(s, d):
-    seq = EV.with_sequence(l0(s, d))
+    seq = EV.with_sequence(stored_l0(s, d))
     return EV.join_evaluations(seq, evaluations(seq))
 
 
-@query("d9_g9_join_evaluations", "SELECT finding_id, seq, ai_is_valid, ai_confidence, has_ai_evaluation FROM labelled")
+@query("d9_g9_join_evaluations", "SELECT finding_id, seq, coalesce(ai_is_valid, FALSE) AS ai_is_valid, coalesce(ai_confidence, -1e0) AS ai_confidence, has_ai_evaluation FROM labelled")
 def _(s, d):
-    return labelled(s, d).select("finding_id", "seq", "ai_is_valid", "ai_confidence", "has_ai_evaluation")
+    return labelled(s, d).select("finding_id", "seq", F.coalesce("ai_is_valid", F.lit(False)).alias("ai_is_valid"), F.coalesce("ai_confidence", F.lit(-1.0)).alias("ai_confidence"), "has_ai_evaluation")
 
 
 K.CTE["batches"] = "SELECT *, seq // 5 AS batch_id, seq % 5 AS position FROM seq"
@@ -244,13 +250,13 @@ _BSQL = "SELECT b.*, count(*) OVER (PARTITION BY batch_id) AS expected FROM batc
 @query("d11_join_responses", f"""SELECT finding_id, batch_id, CAST(position AS BIGINT) AS position, (batch_id + position + 1) % 2 = 0 AS is_valid FROM ({_BSQL}) WHERE batch_id % 4 IN (0, 1)
  OR (batch_id % 4 = 2 AND expected = 1)""")
 def _(s, d):
-    b = EV.assign_batches(l0(s, d), 5)
+    b = EV.assign_batches(stored_l0(s, d), 5)
     return EV.join_responses(b, RS.parse_responses(batch_responses(b))).select("finding_id", "batch_id", n64("position"), "is_valid")
 
 
 @query("g4_batches_and_retries", f"SELECT finding_id, batch_id, CAST(position // 2 AS BIGINT) AS part, CAST(position % 2 AS BIGINT) AS new_position FROM ({_BSQL}) WHERE batch_id % 4 = 3 OR (batch_id % 4 = 2 AND expected > 1)")
 def _(s, d):
-    b = EV.assign_batches(l0(s, d), 5)
+    b = EV.assign_batches(stored_l0(s, d), 5)
     return EV.resubmission_plan(b, RS.parse_responses(batch_responses(b)), 5).select("finding_id", "batch_id", n64("part"), n64("new_position"))
 
 
@@ -546,7 +552,7 @@ _EVAL = "SELECT is_valid, confidence, severity, priority, tokens, cost FROM (SEL
 
 
 def evaluated(s, d):
-    b = EV.assign_batches(l0(s, d), 5).select("finding_id", "batch_id", (F.col("line") % 2 == 0).alias("is_valid"), "confidence", "severity", F.when(F.col("line") % 3 == 0, "high").otherwise("low").alias("priority"))
+    b = EV.assign_batches(stored_l0(s, d), 5).select("finding_id", "batch_id", (F.col("line") % 2 == 0).alias("is_valid"), "confidence", "severity", F.when(F.col("line") % 3 == 0, "high").otherwise("low").alias("priority"))
     usage = b.select("batch_id").distinct().select("batch_id", (F.col("batch_id") + 100).alias("total_tokens"), F.lit(70).alias("prompt_tokens"), (F.col("batch_id") + 30).alias("completion_tokens"))
     return EV.share_costs(b, usage)
 
@@ -663,7 +669,7 @@ def _(s, d):
 
 @query("s6_executive_summary", f"""SELECT 'risk_level' AS item, CASE WHEN r > 0.7 THEN 'High' WHEN r > 0.3 THEN 'Medium' ELSE 'Low' END AS value FROM (SELECT sum(n * {SUMMARY_W}) / sum({SUMMARY_W}) AS r FROM sev_counts)
  UNION ALL SELECT 'total_files', CAST(count(*) AS VARCHAR) FROM code_files UNION ALL SELECT 'total_findings', CAST(count(*) AS VARCHAR) FROM l0 UNION ALL SELECT severity, CAST(n AS VARCHAR) FROM sev_counts
- UNION ALL SELECT 'recommendation', 'Address critical and high findings now' FROM sev_counts WHERE severity IN ('critical', 'high') GROUP BY ALL
+ UNION ALL SELECT DISTINCT 'recommendation', 'Address critical and high findings now' FROM sev_counts WHERE severity IN ('critical', 'high')
  UNION ALL SELECT 'recommendation', 'Remediate medium findings in the next sprint' FROM sev_counts WHERE severity = 'medium' UNION ALL SELECT 'recommendation', 'Plan low findings for a later update' FROM sev_counts WHERE severity = 'low'""")
 def _(s, d):
     return RP.executive_summary(listing(s, d), l0(s, d)).filter(F.col("item") != "risk_score")

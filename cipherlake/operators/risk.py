@@ -50,9 +50,10 @@ def overall_risk_expr(risk: Column = None, weight: Column = None) -> Column:
     """Aggregate expression: weighted mean, 0-100, damped for few findings; empty is 0."""
     risk = F.col("risk") if risk is None else risk
     weight = F.col("risk_weight") if weight is None else weight
+    # least() skips nulls, so the empty group is told apart before it
     mean = F.sum(risk * weight) / F.nullif(F.sum(weight), F.lit(0.0))
-    score = mean * 100 * (1.0 - F.exp(-F.count(risk) / 10.0))
-    return F.coalesce(F.least(F.lit(100.0), score), F.lit(0.0))
+    score = F.coalesce(mean, F.lit(0.0)) * 100 * (1.0 - F.exp(-F.count(risk) / 10.0))
+    return F.least(F.lit(100.0), score)
 
 
 def overall_risk(scored: DataFrame, *group: str) -> DataFrame:
@@ -144,4 +145,4 @@ def register_sql_functions(spark: SparkSession) -> None:
     """``overall_risk_score(weighted_sum, weight_sum, n)`` as a SQL function; it stays in Catalyst."""
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION overall_risk_score(weighted DOUBLE, weights DOUBLE, n BIGINT)
                  RETURNS DOUBLE
-                 RETURN coalesce(least(100.0D, weighted / nullif(weights, 0.0D) * 100 * (1.0D - exp(-n / 10.0D))), 0.0D)""")
+                 RETURN least(100.0D, coalesce(weighted / nullif(weights, 0.0D), 0.0D) * 100 * (1.0D - exp(-n / 10.0D)))""")

@@ -339,7 +339,7 @@ TIME_RISK = clamp("0.5e0 + CASE WHEN line * 18000 < 86400 THEN 0.2e0 WHEN line *
 CTE["risk"] = f"""
 SELECT *, ({ALG_RISK} * 0.3e0 + {SEV_RISK} * 0.25e0 + confidence * 0.2e0 + {CTX_RISK} * 0.15e0 + {TIME_RISK} * 0.1e0) AS risk,
        {SEV_RISK} AS risk_weight, {ALG_RISK} AS algorithm_risk, {CTX_RISK} AS context_risk, {TIME_RISK} AS temporal_risk FROM l0"""
-OVERALL = ("coalesce(least(100e0, sum(risk * risk_weight) / nullif(sum(risk_weight), 0e0) * 100e0 * (1e0 - exp(-count(risk) / 10e0))), 0e0)")
+OVERALL = "least(100e0, coalesce(sum(risk * risk_weight) / nullif(sum(risk_weight), 0e0), 0e0) * 100e0 * (1e0 - exp(-count(risk) / 10e0)))"
 CRITICALITY = cases([(has("lower(algorithm)", w), str(s)) for w, s in V.CRITICALITY], str(V.CRITICALITY_DEFAULT))
 SEV_ORDER = table(V.PRIORITY_ORDER, "lower(severity)", 0)
 SUMMARY_W = table(V.SUMMARY_WEIGHT, "lower(severity)", 0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
-from cipherlake.functions.text import dimension, java_pattern, lookup
+from cipherlake.functions.text import java_pattern, lookup
 from cipherlake.operators.scan import lines, with_identity
 
 
@@ -86,11 +86,12 @@ def sanitized_confidence(flows: DataFrame, sanitizer_lines: DataFrame) -> DataFr
 
 
 def flow_violations(flows: DataFrame) -> DataFrame:
-    """Flows that a rule forbids, as findings."""
-    rows = [{"rule_id": i, "source_type": s, "rule_sink": k, "severity": sev} for i, s, k, sev in V.FLOW_RULES]
-    rules = dimension(flows.sparkSession, rows, "rule_id string, source_type string, rule_sink string, severity string")
-    hit = flows.join(F.broadcast(rules), F.col("flow_type").contains(F.col("source_type"))
-                     & F.col("flow_type").contains(F.col("rule_sink")))
+    """Flows that a rule forbids, as findings.  The few rules are tried inside the row."""
+    kind = F.col("flow_type")
+    rules = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("source_type"), F.lit(k).alias("rule_sink"),
+                               F.lit(sev).alias("severity")) for i, s, k, sev in V.FLOW_RULES])
+    broken = F.filter(rules, lambda r: kind.contains(r["source_type"]) & kind.contains(r["rule_sink"]))
+    hit = flows.select("*", F.inline(broken))
     return with_identity(hit.select(
         "path", F.split("path", "/")[0].alias("repo"), "rule_id", F.col("sink_line").alias("line"),
         F.col("sink_col").alias("col"), F.lit(0).cast("bigint").alias("pos"),

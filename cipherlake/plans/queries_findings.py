@@ -172,10 +172,10 @@ def _(s, d):
 
 # --- joins ---------------------------------------------------------------------------
 
-@query("d1_rules_as_join", "SELECT path, rule_id, pos FROM base")
+@query("d1_rules_as_table", "SELECT path, rule_id, pos FROM base")
 def _(s, d):
     f = base_files(s, d).filter(~P.is_documentation(F.col("path")))
-    return S.rule_scan_joined(f, RU.rules_table(s, RU.default_rules())).select("path", "rule_id", "pos")
+    return S.rule_scan_table(f, RU.rules_table(s, RU.default_rules())).select("path", "rule_id", "pos")
 
 
 @query("d4_baseline", """SELECT finding_id FROM l0 f WHERE NOT EXISTS (SELECT 1 FROM baseline_entries b WHERE b.rule_id = f.rule_id

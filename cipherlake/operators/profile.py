@@ -9,8 +9,8 @@ from cipherlake import fixed_values as V
 from cipherlake.functions import paths as P
 from cipherlake.functions.text import dimension, lookup
 
-# A halving weight underflows to exactly zero after this many steps of double arithmetic.
-_HALVINGS = 1100
+# Evidence further back weighs less than 2**-199 in total: far below the last bit of a confidence.
+_HALVINGS = 200
 
 
 def relative_path(path: Column) -> Column:
@@ -46,9 +46,9 @@ def project_languages(files: DataFrame) -> DataFrame:
     """Confidence per repository and language: the fold c := (c + new) / 2 over files in walk order.
 
     Unrolled, the newest file weighs 1/2, the one before 1/4 and so on, and the first one as much
-    as the second.  Weights of files further back than 1100 positions are exactly zero in double
-    arithmetic, so only the newest rows per group are ranked (window group limit keeps a hot
-    repository from reaching one task); counts come from an ordinary aggregate."""
+    as the second.  Weights beyond 200 positions cannot change a double, so only the newest rows per
+    group are ranked (window group limit keeps a hot repository from reaching one task); counts
+    come from an ordinary aggregate."""
     ev = language_evidence(files).withColumn("walk", F.split("path", "/"))
     keys = ["repo", "language"]
     n = ev.groupBy(*keys).agg(F.count("*").alias("n_files"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from cipherlake.plans import queries as Q
 from cipherlake.plans.checks import language
 from cipherlake.plans.queries import as_of, base, files, found_at, l0, listing, n64, query, r6, read, risk
 from cipherlake.plans.queries_findings import evaluations, lay_files, stored_l0
-from cipherlake.session import checkpoint
+from cipherlake.session import checkpoint, scratch
 from cipherlake.sources import corpus as C
 from cipherlake.streaming import stream as ST
 
@@ -318,7 +318,16 @@ def _(s, d):
 
 # --- jobs ---------------------------------------------------------------------------------------
 
-@query("p1_layered_scan")
+K.CTE["layered_rows"] = f"""
+SELECT path, line, rule_id, context, severity, algorithm, stage FROM l0_lay UNION ALL SELECT path, line, rule_id, context, severity, algorithm, stage FROM l1
+UNION ALL SELECT path, sink_line, rule_id, 'Flow: ' || source_text || ' -> ' || sink_text, severity, 'TAINT_ANALYSIS', 'L2' FROM violations WHERE path IN (SELECT path FROM gate)"""
+K.CTE["layered_usable"] = f"SELECT *, 0e0 AS confidence FROM layered_rows WHERE ({K.SKIP}) IS NULL"
+K.CTE["layered_scored"] = K.scored("layered_usable")
+
+
+@query("p1_layered_scan", """SELECT stage, severity, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS mean_confidence FROM layered_scored f WHERE NOT EXISTS (
+ SELECT 1 FROM marks m WHERE m.path = f.path AND (m.rule_id = '*' OR m.rule_id = f.rule_id) AND (m.scope = 'file' OR (m.scope = 'line' AND f.line = m.line)
+ OR (m.scope = 'block' AND f.line BETWEEN m.line AND m.line + 10))) GROUP BY ALL""")
 def _(s, d):
     out = J.layered_scan(lay_files(s, d), reuse=True)
     return out["findings"].groupBy("stage", "severity").agg(F.count("*").alias("n"), r6(F.avg("confidence"), "mean_confidence"))
@@ -366,7 +375,7 @@ def _(s, d):
 
 def _drain(df, mode: str = "append"):
     """Run a streaming frame over what is there and read the result back."""
-    out = tempfile.mkdtemp(prefix="cipherlake-")
+    out = scratch(df.sparkSession)
     (df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
      .trigger(availableNow=True).start().awaitTermination())
     return df.sparkSession.read.schema(df.schema).parquet(f"{out}/data")
@@ -425,8 +434,9 @@ def _(s, d):
 @query("t5_running_totals", "SELECT user_id % 2 = 0 AS is_valid, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_confidence FROM events GROUP BY 1")
 def _(s, d):
     ev = ST.stream_table(s, f"{d}/events.parque[t]", _EV).select((F.col("user_id") % 2 == 0).alias("is_valid"), F.col("value").alias("confidence"))
-    name = "totals_" + tempfile.mkdtemp(prefix="cipherlake").rsplit("cipherlake", 1)[1]
-    ST.running_totals(ev).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    name = f"totals_{uuid.uuid4().hex}"
+    (ST.running_totals(ev).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{scratch(s)}/log")
+     .trigger(availableNow=True).start().awaitTermination())
     return s.table(name).select("is_valid", "n", r6("mean_confidence"))
 
 

@@ -1,16 +1,28 @@
-"""Session and checkpoint helpers."""
+"""Checkpoint and scratch folders."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder the session names, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate output: below the shared folder, or a temporary one only where
+    none is configured, as in tests."""
+    base = shared_folder(spark)
+    return f"{base.rstrip('/')}/cipherlake-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="cipherlake-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the session names; a folder is made only where none
-    is configured, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cipherlake-"))
+    """Cut lineage through the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="cipherlake-"))
     return df.checkpoint()

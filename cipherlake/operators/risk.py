@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
 from cipherlake.functions import severity as S
-from cipherlake.functions.text import clamp, dimension, first_match, has_any, lookup
+from cipherlake.functions.text import clamp, dimension, first_match, has_any
 
 
 def algorithm_risk(algorithm: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
-from cipherlake.functions.text import first_match, java_pattern, lookup
+from cipherlake.functions.text import first_match, java_pattern
 from cipherlake.operators.scan import match_positions, with_identity
 
 

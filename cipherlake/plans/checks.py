@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from cipherlake import fixed_rules as R
 from cipherlake import fixed_values as V
 from cipherlake.functions.text import alternation
 from cipherlake.operators import rules as RU

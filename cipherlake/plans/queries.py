@@ -15,13 +15,12 @@ from cipherlake.operators import classify as CL
 from cipherlake.operators import context_score as CS
 from cipherlake.operators import policy as PO
 from cipherlake.operators import profile as PR
-from cipherlake.operators import report as RP
 from cipherlake.operators import risk as RK
 from cipherlake.operators import rules as RU
 from cipherlake.operators import scan as S
 from cipherlake.plans import checks as K
 from cipherlake.plans.checks import (BASE, CATEGORY, CONFIG, CRITICALITY, DOC, DOC_LOOSE, EXCLUDED, EXT, GENERATED, KNOWN_TEXT,
-                                     LIB_ANY, LIB_IMPL, LIB_NAME, OVERALL, REL, SEV_ORDER, SKIP, SUMMARY_W, TEST, TEST_STRICT,
+                                     LIB_ANY, LIB_IMPL, LIB_NAME, REL, SEV_ORDER, SKIP, SUMMARY_W, TEST, TEST_STRICT,
                                      VENDORED, language)
 from cipherlake.sources import corpus as C
 

@@ -7,22 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
-from cipherlake.functions import paths as P
 from cipherlake.operators import context_score as CS
 from cipherlake.operators import embedded as EM
 from cipherlake.operators import embedding as E
 from cipherlake.operators import enhanced as EN
 from cipherlake.operators import evaluate as EV
 from cipherlake.operators import features as FT
-from cipherlake.operators import policy as PO
 from cipherlake.operators import risk as RK
-from cipherlake.operators import scan as S
 from cipherlake.operators import training as TR
 from cipherlake.plans import checks as K
 from cipherlake.plans import jobs as J
 from cipherlake.plans import queries as Q
 from cipherlake.plans.checks import language
-from cipherlake.plans.queries import as_of, base, files, found_at, l0, listing, n64, query, r6, read, risk
+from cipherlake.plans.queries import as_of, files, l0, n64, query, r6, read, risk
 from cipherlake.plans.queries_findings import evaluations, lay_files, stored_l0
 from cipherlake.session import checkpoint, scratch
 from cipherlake.sources import corpus as C

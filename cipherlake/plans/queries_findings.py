@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
 from cipherlake.functions import paths as P
-from cipherlake.functions import severity as SV
 from cipherlake.functions.text import dimension
 from cipherlake.operators import classify as CL
 from cipherlake.operators import context_score as CS
@@ -25,7 +24,7 @@ from cipherlake.operators import stage_metrics as SM
 from cipherlake.operators import structural as ST
 from cipherlake.plans import checks as K
 from cipherlake.plans import queries as Q
-from cipherlake.plans.checks import BASE, CRITICALITY, LIB_NAME, OVERALL, REL, SEV_ORDER, SUMMARY_W, language
+from cipherlake.plans.checks import BASE, LIB_NAME, OVERALL, REL, SUMMARY_W, language
 from cipherlake.plans.queries import adjusted, as_of, base, base_files, files, found_at, l0, listing, n64, query, r6, read, risk, scored
 from cipherlake.session import checkpoint
 from cipherlake.sources import corpus as C

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.functions.text import let
-
 FINDING_DDL = ("id string, rule_id string, file string, line int, `column` int, message string, severity string,"
                " confidence double, crypto_type string, algorithm string, key_size int, language string, context string,"
                " suggestion string, pattern string, references array<string>, metadata map<string,string>, timestamp string")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake import fixed_values as V
 from cipherlake.functions.text import java_pattern
 from cipherlake.operators import risk as RK
 from cipherlake.operators import scan as S

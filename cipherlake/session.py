@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The shared folder the session names, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it names none, as in tests, one inside the
+    warehouse, which all executors share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate output: below the shared folder, or a temporary one only where
-    none is configured, as in tests."""
-    base = shared_folder(spark)
-    return f"{base.rstrip('/')}/cipherlake-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="cipherlake-")
+    """A new folder for intermediate output below the shared folder."""
+    return f"{shared_folder(spark)}/cipherlake-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="cipherlake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

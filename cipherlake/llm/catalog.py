@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cipherlake.llm import op3_packing, op4_matrices
-from cipherlake.llm.common import table
+from cipherlake.llm import op2_quality, op3_packing, op4_matrices, op7_language, op10_toxicity
+from cipherlake.llm.common import fold, table
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op2_quality.fit(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 3, 1), metadata_cols=("n_chars",))
+    score = op2_quality.score(model, F.col("text"), F.col("n_chars"))
+    return docs.select("doc_id", fold(F.col("doc_id"), 3, 1).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +26,21 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_matrices.pack_matrices(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_token_matrices)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op7_language.fit(docs, ~fold(F.col("doc_id"), 5, 0))
+    return docs.select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), op7_language.predict(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.*")
+
+
+def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flagged uses the thresholds by language; predicted uses 0.3 for all."""
+    docs = table(spark, sf_dir, "documents")
+    model = op10_toxicity.fit(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 4, 2), lang_col="lang")
+    scored = docs.select("doc_id", "lang", fold(F.col("doc_id"), 4, 2).alias("held_out"), op10_toxicity.score(model, F.col("text")).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         F.coalesce(op10_toxicity.flagged(model, F.col("score"), F.col("lang")), F.lit(False)).alias("flagged"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op7_language_id, op10_toxicity_classifier)}
 ORACLE: dict[str, str] = {}

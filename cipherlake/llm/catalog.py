@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm import op2_quality, op3_packing, op4_matrices, op7_language, op10_toxicity
+from cipherlake.llm import op2_quality, op3_packing, op4_matrices, op7_language, op9_neighbours, op10_toxicity
 from cipherlake.llm.common import fold, table
 
 
@@ -32,6 +32,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), op7_language.predict(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.*")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flagged uses the thresholds by language; predicted uses 0.3 for all."""
     docs = table(spark, sf_dir, "documents")
@@ -42,5 +46,5 @@ def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op7_language_id, op10_toxicity_classifier)}
+    op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
 ORACLE: dict[str, str] = {}

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm import op2_quality, op3_packing, op4_matrices, op7_language, op9_neighbours, op10_toxicity
+from cipherlake.llm import op1_lines, op2_quality, op3_packing, op4_matrices, op6_decontamination, op7_language, op9_neighbours, op10_toxicity
 from cipherlake.llm.common import fold, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op1_lines.dedup(docs).select("doc_id", F.col("dedup_lines").alias("n_lines"), F.size("dedup_removed").alias("n_removed"), F.col("dedup_removed").alias("removed_lines"),
+                                        F.col("dedup_sources").alias("source_ids"), "text")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op2_quality.fit(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 3, 1), metadata_cols=("n_chars",))
@@ -26,6 +32,14 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_matrices.pack_matrices(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item of which it holds a copy."""
+    docs = table(spark, sf_dir, "documents")
+    indexes = op6_decontamination.fit(docs, table(spark, sf_dir, "benchmark"))
+    found = docs.select("doc_id", op6_decontamination.leaks(indexes, F.col("text")).alias("leaks"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op7_language.fit(docs, ~fold(F.col("doc_id"), 5, 0))
@@ -46,5 +60,5 @@ def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
+    op1_line_dedup, op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op6_benchmark_decontamination, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
 ORACLE: dict[str, str] = {}

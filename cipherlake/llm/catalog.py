@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm import op1_lines, op2_quality, op3_packing, op4_matrices, op6_decontamination, op7_language, op9_neighbours, op10_toxicity
+from cipherlake.llm import op1_lines, op2_quality, op3_packing, op4_matrices, op5_jaccard, op6_decontamination, op7_language, op9_neighbours, op10_toxicity
 from cipherlake.llm.common import fold, table
 
 
@@ -32,6 +32,10 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_matrices.pack_matrices(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item of which it holds a copy."""
     docs = table(spark, sf_dir, "documents")
@@ -60,5 +64,5 @@ def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op6_benchmark_decontamination, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
+    op1_line_dedup, op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op5_ngram_jaccard, op6_benchmark_decontamination, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
 ORACLE: dict[str, str] = {}

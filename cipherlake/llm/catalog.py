@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.llm import op1_lines, op2_quality, op3_packing, op4_matrices, op5_jaccard, op6_decontamination, op7_language, op9_neighbours, op10_toxicity
+from cipherlake.llm import op1_lines, op2_quality, op3_packing, op4_matrices, op5_jaccard, op6_decontamination, op7_language, op8_pii, op9_neighbours, op10_toxicity
 from cipherlake.llm.common import fold, table
 
 
@@ -50,6 +50,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), op7_language.predict(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.*")
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in op8_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(op8_pii.listed(base), 256).alias("base_sha256"), op8_pii.listed(F.col("found")).alias("spans"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -64,5 +72,5 @@ def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op5_ngram_jaccard, op6_benchmark_decontamination, op7_language_id, op9_embedding_near_dedup, op10_toxicity_classifier)}
+    op1_line_dedup, op2_quality_classifier, op3_best_fit_packing, op4_token_matrices, op5_ngram_jaccard, op6_benchmark_decontamination, op7_language_id, op8_weak_supervision_pii, op9_embedding_near_dedup, op10_toxicity_classifier)}
 ORACLE: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """Language identification as inference of a mixture.
 
-For every language, letter n-grams (one to four letters, with word ends marked) are counted over all training texts in
+For every language, letter n-grams (one to four characters, word ends included) are counted over all training texts in
 hashed buckets; a word's likelihood in a language is the product of those of its n-grams. A document is a mixture:
 expectation-maximisation over its words estimates the languages' shares, and languages are dropped one after another
 while the likelihood, penalised by the number of languages, doesn't fall. The predicted language has the largest share.
@@ -10,7 +10,7 @@ over whole texts. The model is languages x buckets numbers, whatever the size of
 
 from __future__ import annotations
 
-import re
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,15 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import bucket
-
 BITS = 15
 ORDERS = (1, 2, 3, 4)
-VOCABULARY = 100_000
 ROUNDS = 12
 PENALTY = 3.0
 FLOOR = 12.0
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+STRENGTH = 1.5
 
 
 class Model(NamedTuple):
@@ -36,15 +33,33 @@ class Model(NamedTuple):
     logp: np.ndarray  # buckets x languages
 
 
-def letters(word: str) -> str:
-    """A word's letters, lower-case; at most 60 of them, since longer runs tell nothing more."""
-    return _NOT_LETTERS.sub("", word.lower())[:60]
+@functools.cache
+def _is_letter() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
 
+def characters(text: str) -> np.ndarray:
+    """Code points of a text in lower case, 0 for what isn't a letter, with a 0 at either end."""
+    codes = np.frombuffer(f"\n{text.lower()}\n".encode("utf-32-le", "replace"), np.uint32)
+    return np.where(_is_letter()[codes], codes, 0)
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word given by letters()."""
-    marked = f"^{word}$"
-    return [bucket(marked[k : k + n], BITS) for n in ORDERS for k in range(len(marked) - n + 1)]
+
+def grams(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams of one length start, and their buckets. An n-gram may start or end between words, but not
+    reach across."""
+    n = len(codes) - order + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = codes[:n] > 0 if order == 1 else np.ones(n, bool)
+    for k in range(1, order - 1):
+        inside &= codes[k : k + n] > 0
+    if order == 2:
+        inside &= (codes[:n] > 0) | (codes[1:] > 0)
+    at = np.flatnonzero(inside)
+    h = np.full(len(at), order, np.uint64)
+    for k in range(order):
+        h = h * np.uint64(0x100000001B3) + codes[at + k].astype(np.uint64)
+    return at, (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def fit(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -53,26 +68,13 @@ def fit(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
-        words: dict[str, Counter] = {}
-
-        def settle(lang: str) -> None:
-            total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            plain: Counter = Counter()
-            for w, n in words.pop(lang).items():
-                plain[letters(w)] += n
-            plain.pop("", None)
-            for w, n in plain.items():
-                for g in grams(w):
-                    total[g] += n
-
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                own = words.setdefault(lang, Counter())
-                own.update(text.split())
-                if len(own) > VOCABULARY:
-                    settle(lang)
-        for lang in list(words):
-            settle(lang)
+                total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                for lo in range(0, len(text), 1_000_000):  # an n-gram at the cut of an extremely long text may be missed
+                    codes = characters(text[lo : lo + 1_000_000])
+                    for order in ORDERS:
+                        total += np.bincount(grams(codes, order)[1], minlength=1 << BITS)
         for lang, total in totals.items():
             at = np.nonzero(total)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
@@ -131,39 +133,49 @@ class Reader:
 
     def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit, self.known = model, limit, {}
-        self.rows = np.zeros((limit + 1, len(model.languages)))
-
-    def _row(self, word: str) -> int:
-        """Place of a word's likelihoods; -1 if it has no letter."""
-        plain = letters(word)
-        if not plain:
-            return -1
-        total = self.model.logp[grams(plain)].sum(0) / len(ORDERS) * 1.5
-        at = len(self.known)
-        self.rows[at] = np.exp(np.maximum(total - total.max(), -FLOOR))
-        return at
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Likelihood rows and counts of a text's words that have letters."""
-        counts = Counter(text.split())
-        if len(self.known) + len(counts) > self.limit:
+        self.rows = np.zeros((limit, len(model.languages)))
+        self.spelt = np.zeros(limit, bool)  # has a letter
+
+    def likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each word, scaled to a largest value of 1, and whether the word has a letter."""
+        text = "\n".join(words).lower()
+        codes = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), np.uint32)
+        word = np.cumsum(codes == 10) - 1
+        codes = np.where(_is_letter()[codes], codes, 0)
+        total = np.zeros((len(words) + 1, len(self.model.languages)))
+        for order in ORDERS:
+            at, found = grams(codes, order)
+            owner = word[at]
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            if len(at):
+                total[owner[starts]] += np.add.reduceat(self.model.logp[found].astype(float), starts)
+        total = total[:-1] * (STRENGTH / len(ORDERS))
+        spelt = np.bincount(word[codes > 0], minlength=len(words))[: len(words)] > 0
+        return np.exp(np.maximum(total - total.max(1, keepdims=True), -FLOOR)), spelt
+
+    def words(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Likelihood rows and counts of each text's distinct words that have letters."""
+        counts = [Counter(t.split()) for t in texts]
+        new = list({w for c in counts for w in c if w not in self.known})
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
-        if len(counts) > self.limit:  # more distinct words than the table holds
-            kept = [(r, n) for w, n in counts.items() for r in [self._alone(w)] if r is not None]
-            return np.array([r for r, _ in kept]).reshape(-1, self.rows.shape[1]), np.array([n for _, n in kept], float)
-        for w in counts:
-            if w not in self.known:
-                self.known[w] = self._row(w)
-        at = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
-        n = np.fromiter(counts.values(), float, len(counts))
-        return self.rows[at[at >= 0]], n[at >= 0]
-
-    def _alone(self, word: str) -> np.ndarray | None:
-        plain = letters(word)
-        if not plain:
-            return None
-        total = self.model.logp[grams(plain)].sum(0) / len(ORDERS) * 1.5
-        return np.exp(np.maximum(total - total.max(), -FLOOR))
+            new = list({w for c in counts for w in c})
+            if len(new) > self.limit:  # more words than the table holds
+                if len(texts) > 1:
+                    return [self.words([t])[0] for t in texts]
+                parts = [self.likelihoods(new[k : k + self.limit]) for k in range(0, len(new), self.limit)]
+                spelt = np.concatenate([p[1] for p in parts])
+                return [(np.concatenate([p[0] for p in parts])[spelt], np.array([counts[0][w] for w in new], float)[spelt])]
+        if new:
+            at = len(self.known)
+            self.rows[at : at + len(new)], self.spelt[at : at + len(new)] = self.likelihoods(new)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        out = []
+        for c in counts:
+            at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
+            n, spelt = np.fromiter(c.values(), float, len(c)), self.spelt[at]
+            out.append((self.rows[at[spelt]], n[spelt]))
+        return out
 
 
 RESULT = "lang_pred string, score double, languages array<string>, shares array<double>"
@@ -183,8 +195,8 @@ def predict(model: Model, text: Column) -> Column:
         for texts in batches:
             out = [("und", 0.0, [], [])] * len(texts)
             for lo in range(0, len(texts), 100) if model.languages else ():
-                found = [(lo + k, *ready[0].words(t)) for k, t in enumerate(texts.iloc[lo : lo + 100]) if t]
-                found = [x for x in found if len(x[2])]
+                part = [(lo + k, t) for k, t in enumerate(texts.iloc[lo : lo + 100]) if t]
+                found = [(k, *x) for (k, _), x in zip(part, ready[0].words([t for _, t in part]), strict=True) if len(x[1])]
                 if not found:
                     continue
                 sizes = [len(x[2]) for x in found]

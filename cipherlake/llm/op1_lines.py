@@ -6,7 +6,7 @@ pairs by themselves. Each seed pairs every later document with the first documen
 documents gives as many pairs, not their square. A pair is aligned by patience diff: lines that are unique in both
 documents anchor the alignment, the longest increasing chain of anchors is kept, and the gaps are aligned alike; a gap
 without such lines is anchored at its least frequent common line. Aligned runs with at least `min_words` words are deleted
-from the later document.
+from the later document, and what is left is aligned again until no such run is found.
 
 Two documents that share a run of that size share the seed at its start, so no such run goes unseen. Only hashes are
 joined and aligned; texts are exchanged once, to meet the list of their deleted lines."""
@@ -106,15 +106,22 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Indices of b in aligned runs (next to each other in both) with at least min_words words."""
-    out, run = [], []
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
-            if sum(words[q] for _, q in run) >= min_words:
-                out += [q for _, q in run]
-            run = []
-        run.append((i, j))
-    return out
+    """Indices of b in aligned runs (next to each other in both) with at least min_words words. What an alignment
+    leaves over is aligned again, so that blocks in another order, or twice in b, are found too."""
+    out, left = set(), list(b)
+    while True:
+        run, new = [], []
+        for i, j in [*patience(a, left), (-9, -9)]:
+            if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
+                if sum(words[q] for _, q in run) >= min_words:
+                    new += [q for _, q in run]
+                run = []
+            run.append((i, j))
+        if not new:
+            return sorted(out)
+        out.update(new)
+        for q in new:
+            left[q] = None
 
 
 def find(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -166,4 +173,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     count = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
-    return joined.withColumns({text_col: text, f"{prefix}lines": count, removed: F.coalesce(removed, F.array().cast("array<int>")), sources: F.coalesce(sources, F.array().cast("array<bigint>"))})
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias(f"{prefix}lines"),
+                         F.coalesce(removed, F.array().cast("array<int>")).alias(removed), F.coalesce(sources, F.array().cast("array<bigint>")).alias(sources))

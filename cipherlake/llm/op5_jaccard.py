@@ -123,7 +123,7 @@ def _blocks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
             tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), lens)[order]
             part = (tokens >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=np.uint64(ranges + 1)))
-            ends = np.append(starts[1:], len(part))
+            ends = np.append(starts, len(part))[1:]
             rows = [(int(part[a]), _pack(tokens[a:b], owner[a:b])) for a, b in zip(starts, ends, strict=True)]
             about = "\n".join(f"{f}{n} {'' if i is None else i}" for i, f, n in zip(ids, prints, lens, strict=True))
             rows.append((ranges + chunk % ranges, about.encode()))

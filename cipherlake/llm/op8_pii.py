@@ -31,9 +31,11 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+# gazetteers and context words of labelers, and looser patterns
+DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "ch", "at", "nl", "be", "pl", "jp", "cn", "in", "br", "au")
 _AT, _DOT = r" ?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}) ?", r"(?: ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}) ?| dot |\.)"
 LOOSE = {
-    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:{_AT}|\\?@| at (?=[A-Za-z0-9-]{{1,63}} dot ))[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}})+",
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:{_AT}|\\?@| at (?=(?:[A-Za-z0-9-]{{1,63}} dot ){{1,3}}(?:{'|'.join(DOMAINS)})\b))[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}})+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])|(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9.])",
     "card": r"(?<![0-9._/-])[0-9]{4}([._/ ])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9._/-])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z.-])|(?<![0-9A-Za-z+.-])00[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,4}\)?[ .-]?){2,5}(?![0-9A-Za-z.-])",
@@ -42,8 +44,6 @@ _GUARD = {
     ("email", True): "@", ("ip", True): r"[0-9]\.[0-9]", ("card", True): "[0-9]", ("phone", True): r"\+[0-9]",
     ("email", False): r"(?i)[\[({] ?at ?[\])}]|\\@| dot ", ("ip", False): r"(?i)[0-9a-f]:[0-9a-f]{1,4}:|[\[(](?:\.|dot)[\])]", ("card", False): r"[0-9]{4}[._/ ][0-9]{4}", ("phone", False): r"[0-9]{3}[-. )]",
 }
-# gazetteers and context words
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "ch", "at", "nl", "be", "pl", "jp", "cn", "in", "br", "au")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|30|3[68]|6011|65|62|35)"
 RESERVED = r"^(?:0\.|127\.|255\.|22[4-9]\.|23[0-9]\.)"
 WORDS = {

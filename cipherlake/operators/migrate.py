@@ -74,7 +74,7 @@ def render_patches(findings: DataFrame, templates: DataFrame, variables: dict[st
     for name, value in (variables or {}).items():
         text = F.replace(text, F.lit("{{." + name + "}}"), F.lit(value))
     return df.withColumn("patch", text).withColumn(
-        "description", F.format_string("Generated patch for %s in %s", "algorithm", "patch_language")).drop("template")
+        "description", F.format_string("Patch for %s, written in %s", "algorithm", "patch_language")).drop("template")
 
 
 def validate_templates(templates: DataFrame, known: list[str] | None = None) -> DataFrame:

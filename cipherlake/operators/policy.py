@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cipherlake.functions import severity as S
 
-# Inline suppressions larger than this are shuffled by path instead of broadcast.
-BROADCAST_ROWS = 200_000
+RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+# copies of an entry that covers all lines of a rule, so that one rule's findings meet it in many tasks
+SALTS = 32
 
 
 def min_confidence(findings: DataFrame, floor: float) -> DataFrame:
@@ -21,8 +22,9 @@ def min_severity(findings: DataFrame, level: str = "medium") -> DataFrame:
 
 def baseline_active(baseline: DataFrame, as_of: Column) -> DataFrame:
     """Entries that can still suppress: a rule id, and no expiry before ``as_of``.
-    An expiry that cannot be read counts as none."""
-    expires = F.try_to_timestamp(F.regexp_replace(F.coalesce("expires", F.lit("")), "T|Z$", " "))
+    An expiry that isn't a full RFC 3339 time (a date alone, say) counts as none."""
+    given = F.coalesce("expires", F.lit(""))
+    expires = F.when(given.rlike(RFC3339), given.try_cast("timestamp"))
     return (baseline.filter(F.coalesce("rule_id", F.lit("")) != "")
             .filter(F.coalesce(as_of.cast("timestamp") <= expires, F.lit(True)))
             .select(F.col("rule_id").alias("b_rule"), F.coalesce("file", F.lit("")).alias("b_file"),
@@ -32,23 +34,24 @@ def baseline_active(baseline: DataFrame, as_of: Column) -> DataFrame:
 def apply_baseline(findings: DataFrame, baseline: DataFrame, as_of: Column) -> DataFrame:
     """Drop findings a baseline entry covers: same rule, path suffix if given, line if given.
 
-    An entry with a file is matched through an equi join on (rule, base name); the suffix test is
-    a residual.  The baseline is kept by hand, and Spark may broadcast it when its measured size
-    is small; no hint forces it."""
+    All joins are equi joins on more than the rule: on (rule, line) or (rule, salt) for entries of a whole rule; on
+    (rule, suffix) for entries with a file, where a path gives one suffix for each length that entries have.  The
+    places covered by files, (rule, path, line), then leave the findings in one anti join.  Batch input only; a stream
+    applies it to each batch."""
     active = baseline_active(baseline, as_of)
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    whole = active.filter(F.col("b_file") == "")
+    every = whole.filter("b_line <= 0").select("b_rule", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b_salt")).distinct()
+    at_line = whole.filter("b_line > 0").select("b_rule", "b_line")
+    out = findings.join(at_line, (F.col("rule_id") == F.col("b_rule")) & (F.col("line") == F.col("b_line")), "left_anti")
+    out = out.join(every, (F.col("rule_id") == F.col("b_rule")) & (F.pmod(F.xxhash64("path", "line"), F.lit(SALTS)) == F.col("b_salt")), "left_anti")
+    local = active.filter(F.col("b_file") != "")
+    lengths = local.select(F.length("b_file").alias("n")).distinct().agg(F.collect_list("n").alias("ns"))  # at most the longest path
+    places = out.select("rule_id", "path", "line").distinct().withColumn("_ns", lengths.scalar())
+    suffix = F.transform(F.filter("_ns", lambda n: n <= F.length("path")), lambda n: F.right(F.col("path"), n))
+    ends = places.select("rule_id", "path", "line", F.explode(suffix).alias("_end"))
     line_ok = (F.col("b_line") <= 0) | (F.col("b_line") == F.col("line"))
-    # entries for a whole rule
-    anywhere = active.filter(F.col("b_file") == "").select("b_rule", "b_line")
-    out = findings.join(anywhere, (F.col("rule_id") == F.col("b_rule")) & line_ok, "left_anti")
-    # entries whose file has a directory: the base name must be equal, so it is a join key
-    local = active.filter(F.col("b_file") != "").withColumn("b_name", name(F.col("b_file")))
-    deep, bare = local.filter(F.col("b_file").contains("/")), local.filter(~F.col("b_file").contains("/"))
-    out = out.join(deep, (F.col("rule_id") == F.col("b_rule")) & (name(F.col("path")) == F.col("b_name"))
-                   & F.endswith(F.col("path"), F.col("b_file")) & line_ok, "left_anti")
-    # a bare name may be the tail of a longer name, so only the rule is a key
-    return out.join(bare, (F.col("rule_id") == F.col("b_rule")) & F.endswith(F.col("path"), F.col("b_file")) & line_ok,
-                    "left_anti")
+    covered = ends.join(local, (F.col("rule_id") == F.col("b_rule")) & (F.col("_end") == F.col("b_file")) & line_ok, "left_semi")
+    return out.join(covered.select("rule_id", "path", "line").distinct(), ["rule_id", "path", "line"], "left_anti").select(*findings.columns)
 
 
 def apply_inline_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFrame:

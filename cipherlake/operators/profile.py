@@ -88,8 +88,9 @@ def primary_language(files: DataFrame) -> DataFrame:
                     F.coalesce("b.n", F.lit(0).cast("bigint")).alias("n_files")))
 
 
-def ignore_patterns(languages: DataFrame) -> DataFrame:
-    """Ignore patterns of every repository: always, by language, and more for small projects."""
+def ignore_patterns(languages: DataFrame, small_project: int | None = None) -> DataFrame:
+    """Ignore patterns of every repository: always, and by language.  The moderate ones hold everywhere, or, with
+    ``small_project``, only in repositories of fewer files."""
     spark = languages.sparkSession
     total = languages.groupBy("repo").agg(F.sum("n_files").alias("total"))
     fixed = dimension(spark, [{"pattern": p, "level": "high"} for p in V.IGNORE_HIGH]
@@ -97,15 +98,16 @@ def ignore_patterns(languages: DataFrame) -> DataFrame:
     by_lang = dimension(spark, [{"language": k, "pattern": p} for k, ps in V.IGNORE_BY_LANGUAGE.items() for p in ps],
                         "language string, pattern string")
     general = (total.select("repo", "total", F.explode(F.array(F.lit("high"), F.lit("moderate"))).alias("level"))
-               .filter((F.col("level") == "high") | (F.col("total") < V.MODERATE_MAX_FILES))
+               .filter((F.col("level") == "high") | (F.lit(True) if small_project is None else F.col("total") < small_project))
                .join(F.broadcast(fixed), "level").select("repo", "pattern"))
     special = languages.join(F.broadcast(by_lang), "language").select("repo", "pattern")
     return general.unionByName(special).distinct()
 
 
-def filter_by_profile(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Drop files an ignore pattern of their repository covers.  Patterns are a bounded set per
-    repository, collected into one row each and joined on the repository."""
+def filter_by_profile(rows: DataFrame, patterns: DataFrame, repo: Column | None = None) -> DataFrame:
+    """Drop rows whose path an ignore pattern of their repository covers.  Patterns are a bounded set per
+    repository, collected into one row each and joined on the repository.  Give it short rows (paths, findings), not
+    texts: a repository may hold a third of all rows, which Spark's skewed join then splits."""
     rx = F.transform("ps", lambda p: F.concat(F.lit("^"), F.regexp_replace(
         F.regexp_replace(p, r"([\\.^$|?+()\[\]{}])", r"\\$1"), r"\*", "[^/]*"), F.lit("$")))
     stems = F.transform("ps", lambda p: F.regexp_replace(p, r"\*$", ""))
@@ -114,7 +116,8 @@ def filter_by_profile(files: DataFrame, patterns: DataFrame) -> DataFrame:
     rel = relative_path(F.col("path"))
     keep = ~(F.coalesce(F.expr("regexp_replace(path, '^[^/]*/', '') rlike regex"), F.lit(False))
              | F.coalesce(F.exists("stems", lambda s: rel.contains(s)), F.lit(False)))
-    return files.join(per, "repo", "left").filter(keep).drop("regex", "stems")
+    own = per.withColumnRenamed("repo", "_repo")
+    return rows.join(own, (F.col("repo") if repo is None else repo) == F.col("_repo"), "left").filter(keep).drop("_repo", "regex", "stems")
 
 
 def ecosystems(files: DataFrame) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cipherlake import fixed_rules as R
 from cipherlake import fixed_values as V
@@ -99,6 +97,15 @@ def load_rules(spark: SparkSession, paths: list[str]) -> DataFrame:
             .filter("enabled"))
 
 
+def combine_rules(*tables: DataFrame) -> DataFrame:
+    """Rules of several sources as one table.  All are kept, also where they share an id: the scan tells rules apart
+    by their place, and their findings by message."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Bring a rule table to the driver to build a scan from it.  A rule table is
     written by hand, so its size is checked instead of assumed."""
@@ -126,17 +133,9 @@ def select_rules(rules: DataFrame, enabled_ids: DataFrame | None = None,
     return out
 
 
-@F.pandas_udf(T.BooleanType())
-def _compiles(patterns: pd.Series) -> pd.Series:
-    import re
-
-    def ok(p):
-        try:
-            re.compile(p or "")
-            return True
-        except re.error:
-            return False
-    return patterns.map(ok)
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern is a regular expression in the dialect the scan uses."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
 def validate_rules(rules: DataFrame, check_compile: bool = True) -> DataFrame:
@@ -152,7 +151,10 @@ def validate_rules(rules: DataFrame, check_compile: bool = True) -> DataFrame:
                F.lit("missing language")),
     ]
     if check_compile:
-        checks.append(F.when(~blank("pattern") & ~_compiles("pattern"), F.lit("pattern does not compile")))
+        fine = compiles(F.col("pattern"))
+        checks.append(F.when(~blank("pattern") & ~fine, F.lit("pattern does not compile")))
+        # positions are told by the text between matches, so a match must have characters
+        checks.append(F.when(~blank("pattern") & fine & F.when(fine, F.rlike(F.lit(""), F.col("pattern"))), F.lit("pattern matches nothing")))
     return rules.select("rule_id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
 
 

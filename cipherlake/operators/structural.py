@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
 from cipherlake.functions.text import first_match, java_pattern
-from cipherlake.operators.scan import match_positions, with_identity
+from cipherlake.operators.scan import cut_texts, match_positions, with_identity
 
 
 def _l1_rules() -> list[dict]:
@@ -46,19 +46,14 @@ def intent_message(intent: Column, algorithm: Column, size: Column) -> Column:
 def l1_scan(files: DataFrame, l0_paths: DataFrame | None = None) -> DataFrame:
     """Structural findings of files that had a first-stage hit.  Patterns apply by language; the
     matched text gives the key size, the line and column are those of the match."""
-    if l0_paths is not None:
-        files = files.join(l0_paths.select("path").distinct(), "path", "left_semi")
     rules = _l1_rules()
     content, hits = F.col("content"), []
     for i, r in enumerate(rules, 1):
-        cond = (F.col("language") == r["language"]) & content.rlike(java_pattern(r["regex"]))
-        hits.append(F.when(cond, F.lit(i)))
-    regexes = F.array(*[F.lit(java_pattern(r["regex"])) for r in rules])
-    # each regular expression is its own match run, so the running totals stay per expression
-    keyed = files.select("path", "repo", "language", "content", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    keyed = keyed.select("path", "repo", "language", "content", "hit", F.col("hit").cast("string").alias("rule_id"),
-                         F.element_at(regexes, F.col("hit")).alias("regex"))
-    found = match_positions(keyed, ["path", "repo", "language", "rule_id", "hit", "regex"])
+        regex = java_pattern(r["regex"])
+        hits.append((i, str(i), regex, (F.col("language") == r["language"]) & content.rlike(regex)))
+    found = match_positions(cut_texts(files, hits)).withColumn("hit", F.col("ordinal"))
+    if l0_paths is not None:  # the short rows meet the paths; the texts stay where they are
+        found = found.join(l0_paths.select("path").distinct(), "path", "left_semi")
     pick = lambda key, default: F.element_at(F.array(*[F.lit(r.get(key, default)) for r in rules]), F.col("hit"))
     size_group = F.regexp_extract("match_text", r"(\d+)$", 1)
     java_alg = F.regexp_extract("match_text", V.L1_JAVA_PATTERN, 1)
@@ -80,7 +75,7 @@ def l1_scan(files: DataFrame, l0_paths: DataFrame | None = None) -> DataFrame:
         "message": intent_message(F.col("intent"), F.col("algorithm"), F.col("key_size_text")),
         "key_size": F.coalesce(F.col("key_size_text").try_cast("int"), F.lit(0)), "stage": F.lit("L1"),
         "suggestion": F.lit(""), "priority": F.lit(1)})
-    return with_identity(out.drop("hit", "regex", "idx", "code_only", "given_severity", "given_confidence",
+    return with_identity(out.drop("hit", "file_key", "ordinal", "idx", "code_only", "given_severity", "given_confidence",
                                   "key_size_text"))
 
 

@@ -250,9 +250,9 @@ SELECT * EXCLUDE (severity, message, kind),
   CASE WHEN kind = 'relaxed' THEN CASE severity WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'low' WHEN 'medium' THEN 'info' ELSE severity END
        WHEN kind = 'general' THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'info' ELSE severity END
        ELSE severity END AS severity,
-  CASE kind WHEN 'broken' THEN algorithm || ' implementation in crypto library. Plan migration strategy.'
-            WHEN 'relaxed' THEN algorithm || ' implementation in crypto library. Monitor for post-quantum alternatives.'
-            WHEN 'general' THEN 'Crypto implementation in library context. Review for standards compliance.' ELSE message END AS message,
+  CASE kind WHEN 'broken' THEN algorithm || ' inside a cryptography library: schedule its removal.'
+            WHEN 'relaxed' THEN algorithm || ' inside a cryptography library: watch for quantum-resistant replacements.'
+            WHEN 'general' THEN 'Part of a cryptography library: check it against current standards.' ELSE message END AS message,
   kind <> 'none' AS crypto_library_context
 FROM (SELECT *, {_kind} AS kind FROM base_unique)"""
 

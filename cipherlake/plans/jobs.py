@@ -37,15 +37,14 @@ def layered_findings(files: DataFrame, rules: list[Rule] | None = None, enable_l
     instead of scanning again."""
     keep = cut if reuse else (lambda df: df)
     marks = C.inline_suppressions(files)
-    suppressed = marks.filter((F.col("rule_id") == "*") & (F.col("scope") == "file")).select("path").distinct()
-    usable = files.filter(P.skip_reason(F.col("path")).isNull()).join(suppressed, "path", "left_anti")
+    usable = files.filter(P.skip_reason(F.col("path")).isNull() & ~C.suppressed_as_a_whole(F.col("content")))
     l0 = keep(S.l0_scan(usable, rules).select(*FINDING_COLUMNS))
     out = {"suppressions": marks, "files": usable, "L0": l0}
     if enable_l1:
         out["L1"] = keep(ST.l1_scan(usable, l0).select(*FINDING_COLUMNS))
     if enable_l1 and enable_l2:
         gate = ST.high_confidence_files(out["L1"], at_least=l2_min_high_conf).select("path")
-        sources = FW.taint_sources(usable.join(gate, "path", "left_semi"))
+        sources = FW.taint_sources(usable).join(gate, "path", "left_semi")
         flows = FW.trace_flows(sources, FW.taint_sinks(out["L1"].join(gate, "path", "left_semi")))
         out["L2"] = FW.flow_violations(flows).select(*FINDING_COLUMNS)
     stages = [out[s] for s in ("L0", "L1", "L2") if s in out]
@@ -83,8 +82,8 @@ def api_scan(files: DataFrame, rules: list[Rule] | None = None) -> dict[str, Dat
 def combined_scan(files: DataFrame, reports: DataFrame, **options) -> dict[str, DataFrame]:
     """Project profile, layered scan without profile-ignored files, dependency findings, joint counts."""
     languages = PR.project_languages(files)
-    kept = PR.filter_by_profile(files, PR.ignore_patterns(languages))
-    scan = layered_scan(kept, **options)
+    patterns = PR.ignore_patterns(languages)
+    scan = {k: v if k == "files" else PR.filter_by_profile(v, patterns, repo=F.split("path", "/")[0]) for k, v in layered_scan(files, **options).items()}
     vulns = DP.scan_project(reports, PR.ecosystems(files), ["repo"])
     return {**scan, "languages": languages, "package_managers": PR.package_managers(files), "vulnerabilities": vulns,
             "vulnerability_summary": DP.vulnerability_summary(scan["findings"], vulns)}

@@ -171,7 +171,7 @@ SELECT DISTINCT repo, pattern FROM (
 
 @query("a10_ignore_patterns", "SELECT repo, pattern FROM ignore_patterns")
 def _(s, d):
-    return PR.ignore_patterns(PR.project_languages(listing(s, d)))
+    return PR.ignore_patterns(PR.project_languages(listing(s, d)), small_project=V.MODERATE_MAX_FILES)
 
 
 @query("a10_profile_filter", f"""SELECT path FROM (SELECT repo, path, {REL} AS rel FROM code_files) f WHERE NOT EXISTS (
@@ -179,7 +179,7 @@ def _(s, d):
    OR contains(f.rel, CASE WHEN p.pattern LIKE '%*' THEN p.pattern[:-2] ELSE p.pattern END)))""")
 def _(s, d):
     f = listing(s, d)
-    return PR.filter_by_profile(f, PR.ignore_patterns(PR.project_languages(f))).select("path")
+    return PR.filter_by_profile(f.select("path", "repo"), PR.ignore_patterns(PR.project_languages(f), small_project=V.MODERATE_MAX_FILES)).select("path")
 
 
 def user_rules(s, d):
@@ -259,7 +259,8 @@ def baseline(s, d):
     rule = F.when(k % 4 == 0, "l0-key-sizes").when(k % 4 == 1, "l0-hash-algorithms").when(k % 4 == 2, "l0-tls-ssl").otherwise("weak-hash-md5")
     file = F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".go").otherwise(".c"))
     line = F.when(k % 5 == 0, F.lit(2)).otherwise(F.lit(0))
-    exp = F.when(k % 6 == 0, "2023-01-01T00:00:00Z").when(k % 6 == 1, "not a date").when(k % 6 == 2, "2030-01-01T00:00:00Z").otherwise("")
+    exp = (F.when(k % 6 == 0, "2023-01-01T00:00:00Z").when(k % 6 == 1, "not a date").when(k % 6 == 2, "2030-01-01T00:00:00Z").when(k % 6 == 3, "2023-01-01")
+           .when(k % 6 == 4, "2024-02-01T01:30:00.25+02:00").otherwise(""))
     entry = F.format_string('[{"rule_id": "%s", "file": "%s", "line": %d, "expires": "%s"}]', rule, file, line, exp)
     doc = F.when(k % 2 == 0, F.concat(F.lit('{"suppressions": '), entry, F.lit("}"))).otherwise(entry)
     return RS.parse_baseline(read(s, d, "part").select(doc.alias("value")))
@@ -269,7 +270,8 @@ K.CTE["baseline_entries"] = """
 SELECT CASE p_partkey % 4 WHEN 0 THEN 'l0-key-sizes' WHEN 1 THEN 'l0-hash-algorithms' WHEN 2 THEN 'l0-tls-ssl' ELSE 'weak-hash-md5' END AS rule_id,
   'f' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '.go' ELSE '.c' END AS file,
   CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS line,
-  CASE p_partkey % 6 WHEN 0 THEN '2023-01-01T00:00:00Z' WHEN 1 THEN 'not a date' WHEN 2 THEN '2030-01-01T00:00:00Z' ELSE '' END AS expires FROM part"""
+  CASE p_partkey % 6 WHEN 0 THEN '2023-01-01T00:00:00Z' WHEN 1 THEN 'not a date' WHEN 2 THEN '2030-01-01T00:00:00Z' WHEN 3 THEN '2023-01-01'
+  WHEN 4 THEN '2024-02-01T01:30:00.25+02:00' ELSE '' END AS expires FROM part"""
 
 
 @query("a16_baseline_source", "SELECT rule_id, file, CAST(line AS BIGINT) AS line, expires FROM baseline_entries")
@@ -374,6 +376,12 @@ def _(s, d):
     return J.fleet_scan(files(s, d), enable_l1=False).select("repo", "finding_id", r6("confidence"), n64("rank"))
 
 
+@query("a24_fleet_scan_all_layers")
+def _(s, d):
+    from cipherlake.plans import jobs as J
+    return J.fleet_scan(files(s, d), reuse=True).select("repo", "finding_id", "stage", r6("confidence"), n64("rank"))
+
+
 # --- B: derived columns ------------------------------------------------------------
 
 @query("b1_path_parts", f"SELECT path, {EXT} AS extension, {BASE} AS base_name, CAST(len(string_split(path, '/')) AS BIGINT) AS depth, {REL} AS rel FROM code_files")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
@@ -14,6 +12,7 @@ from cipherlake.operators import enhanced as EN
 from cipherlake.operators import evaluate as EV
 from cipherlake.operators import features as FT
 from cipherlake.operators import risk as RK
+from cipherlake.operators import scan as SC
 from cipherlake.operators import training as TR
 from cipherlake.plans import checks as K
 from cipherlake.plans import jobs as J
@@ -301,15 +300,15 @@ def _encoded(s, d):
 @query("j3_j6_j7_validity_model")
 def _(s, d):
     enc = _encoded(s, d)
-    res = TR.train_validity_model(enc, folds=2)
+    res = TR.train_validity_model(enc)
     return TR.predict(enc, res["model"]).groupBy("is_false_positive").agg(F.count("*").alias("n"), r6(F.avg("false_positive_confidence"), "certainty"))
 
 
 @query("j4_j5_forest_models")
 def _(s, d):
     enc = _encoded(s, d)
-    a = TR.train_confidence_model(enc, trees=10, folds=2)
-    b = TR.train_severity_model(enc, trees=10)
+    a = TR.train_confidence_model(enc)
+    b = TR.train_severity_model(enc)
     return TR.report_rows(s, [a, b])
 
 
@@ -330,16 +329,21 @@ def _(s, d):
     return out["findings"].groupBy("stage", "severity").agg(F.count("*").alias("n"), r6(F.avg("confidence"), "mean_confidence"))
 
 
-@query("p2_s12_base_scan", """SELECT rule_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE severity IN ('critical', 'high')) AS BIGINT) AS n_high FROM (SELECT rule_id, CASE WHEN rule_id IN """ + K.inlist(V.CONTEXT_AWARE_RULES) + """ THEN severity ELSE cls_severity END AS severity
- FROM base_classified WHERE NOT """ + K.ignored("base") + """ AND NOT """ + K.BINARY_NAME + """) GROUP BY rule_id""")
+K.CTE["all_unique"] = K.CTE["base_unique"].replace("FROM base", "FROM (FROM base UNION ALL BY NAME FROM structural)")
+K.CTE["all_adjusted"] = K.CTE["library_adjusted"].replace("base_unique", "all_unique")
+K.CTE["all_classified"] = K.classified("all_adjusted")
+
+
+@query("p2_s12_base_scan", """SELECT rule_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE sev IN ('critical', 'high')) AS BIGINT) AS n_high FROM (SELECT rule_id, CASE WHEN rule_id IN """ + K.inlist(V.CONTEXT_AWARE_RULES) + """ THEN severity ELSE cls_severity END AS sev
+ FROM all_classified WHERE NOT """ + K.ignored("base") + """ AND NOT """ + K.BINARY_NAME + """) GROUP BY rule_id""")
 def _(s, d):
-    out = J.base_scan(C.file_context(C.code_files(s, d), "base"), structural=False)["findings"]
+    out = J.base_scan(C.file_context(C.code_files(s, d), "base"))["findings"]
     return out.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("n_high"))
 
 
 @query("p3_combined_scan")
 def _(s, d):
-    return J.combined_scan(files(s, d), Q.dependency_reports(s, d), enable_l1=False)["vulnerability_summary"]
+    return J.combined_scan(files(s, d), Q.dependency_reports(s, d), reuse=True)["vulnerability_summary"]
 
 
 @query("p5_enhanced_findings")
@@ -349,7 +353,7 @@ def _(s, d):
 
 @query("p6_scored_layered_scan")
 def _(s, d):
-    out = J.scored_layered_scan(lay_files(s, d), enable_l2=False)
+    out = J.scored_layered_scan(lay_files(s, d), reuse=True)
     return out.groupBy("ml_predicted_severity").agg(F.count("*").alias("n"), r6(F.avg("adjusted_confidence"), "mean_confidence"))
 
 
@@ -394,12 +398,14 @@ K.CTE["event_findings"] = """SELECT ts, 'repo/f' || CAST(user_id AS VARCHAR) AS
  CASE user_id % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 0.6e0 ELSE 0.2e0 END AS risk_weight FROM events"""
 
 
-@query("t1_stream_scan", """SELECT path, rule_id, CAST(count(DISTINCT line) AS BIGINT) AS n_lines FROM secrets WHERE rule_id <> 'licence-word' GROUP BY ALL""")
+@query("t1_stream_scan", """SELECT path, rule_id, CAST(count(DISTINCT line) AS BIGINT) AS n_lines FROM secrets GROUP BY ALL""")
 def _(s, d):
     raw = ST.stream_table(s, f"{d}/documents.parque[t]", _DOC)
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".dat")))
-    f = raw.select(path.alias("path"), F.lit("").alias("language"), F.col("text").alias("content"))
-    return _drain(ST.line_hits(f, Q.SECRET_RULES[:4])).groupBy("path", "rule_id").agg(F.count_distinct("line").alias("n_lines"))
+    f = raw.select(path.alias("path"), F.col("source").alias("repo"), F.lit("").alias("language"), F.col("text").alias("content"))
+    out = scratch(s)
+    ST.scan_each_batch(f, f"{out}/data", f"{out}/log", lambda b: SC.l0_scan(b, Q.SECRET_RULES, min_confidence=0.0)).awaitTermination()
+    return s.read.parquet(f"{out}/data").groupBy("path", "rule_id").agg(F.count_distinct("line").alias("n_lines"))
 
 
 @query("t2_stream_suppression", "SELECT path, CAST(line AS BIGINT) AS line, rule_id FROM event_findings WHERE NOT (rule_id = 'r-click' AND line = 3) AND rule_id <> 'r-error'")
@@ -407,13 +413,15 @@ def _(s, d):
     ev = _event_findings(ST.stream_table(s, f"{d}/events.parque[t]", _EV))
     b = read(s, d, "events").filter(F.col("event_type") == "error").select(F.lit("r-error").alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("").alias("expires")).distinct()
     b = b.unionByName(read(s, d, "events").filter(F.col("event_type") == "click").select(F.lit("r-click").alias("rule_id"), F.lit("").alias("file"), F.lit(3).alias("line"), F.lit("").alias("expires")).distinct())
-    return _drain(ST.suppress(ev, b, as_of())).select("path", n64("line"), "rule_id")
+    out = scratch(s)
+    ST.suppress_each_batch(ev, b, as_of(), f"{out}/data", f"{out}/log").awaitTermination()
+    return s.read.parquet(f"{out}/data").select("path", n64("line"), "rule_id")
 
 
 @query("t3_stream_dedupe", "SELECT DISTINCT path, CAST(line AS BIGINT) AS line, rule_id FROM event_findings")
 def _(s, d):
     ev = _event_findings(ST.stream_table(s, f"{d}/events.parque[t]", _EV))
-    return _drain(ST.dedupe(ev, "ts", "60 days").select("path", n64("line"), "rule_id"))
+    return _drain(ST.dedupe(ev, "ts", "1 hour").select("path", n64("line"), "rule_id"))
 
 
 @query("t4_risk_windows", f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, round({K.OVERALL}, 6) AS overall_risk, CAST(count(*) AS BIGINT) AS n_findings FROM event_findings GROUP BY 1")
@@ -431,10 +439,10 @@ def _(s, d):
 @query("t5_running_totals", "SELECT user_id % 2 = 0 AS is_valid, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_confidence FROM events GROUP BY 1")
 def _(s, d):
     ev = ST.stream_table(s, f"{d}/events.parque[t]", _EV).select((F.col("user_id") % 2 == 0).alias("is_valid"), F.col("value").alias("confidence"))
-    name = f"totals_{uuid.uuid4().hex}"
-    (ST.running_totals(ev).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{scratch(s)}/log")
-     .trigger(availableNow=True).start().awaitTermination())
-    return s.table(name).select("is_valid", "n", r6("mean_confidence"))
+    out = scratch(s)
+    ST.totals_each_batch(ev, f"{out}/data", f"{out}/log").awaitTermination()
+    rows = s.read.parquet(f"{out}/data")
+    return rows.filter(F.col("batch_id") == rows.agg(F.max("batch_id").alias("last")).scalar()).select("is_valid", "n", r6("mean_confidence"))
 
 
 # --- SQL surface ---------------------------------------------------------------------------------

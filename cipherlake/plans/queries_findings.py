@@ -178,7 +178,8 @@ def _(s, d):
 
 
 @query("d4_baseline", """SELECT finding_id FROM l0 f WHERE NOT EXISTS (SELECT 1 FROM baseline_entries b WHERE b.rule_id = f.rule_id
- AND coalesce(TRY_CAST(replace(replace(b.expires, 'T', ' '), 'Z', '') AS TIMESTAMP) >= TIMESTAMP '2024-02-01', TRUE)
+ AND coalesce(CASE WHEN regexp_full_match(b.expires, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})')
+  THEN TRY_CAST(b.expires AS TIMESTAMPTZ) >= TIMESTAMPTZ '2024-02-01 00:00:00+00' END, TRUE)
  AND (b.file = '' OR ends_with(f.path, b.file)) AND (b.line <= 0 OR b.line = f.line))""")
 def _(s, d):
     return PO.apply_baseline(l0(s, d), Q.baseline(s, d), as_of()).select("finding_id")

@@ -9,16 +9,22 @@ from cipherlake import fixed_values as V
 from cipherlake.functions import paths as P
 
 
-def read_files(spark: SparkSession, root: str, max_size: int = V.MAX_FILE_SIZE,
-               max_depth: int = V.MAX_DEPTH) -> DataFrame:
-    """Files under a root.  The size filter is pushed into the source, so the bytes of
-    large files are never read; drop ``content`` to list without reading at all."""
+def read_files(spark: SparkSession, root: str, max_size: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Files under a root, all of them by default.  A size limit is pushed into the source, so the bytes of larger
+    files are never read; drop ``content`` to list without reading at all (binary files of over 2 GiB can only be
+    listed)."""
     root_depth = len(root.rstrip("/").split("/"))
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .filter(F.col("length") <= max_size))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = raw if max_size is None else raw.filter(F.col("length") <= max_size)
     path = F.regexp_replace("path", "^file:/+", "/")
-    return (raw.select(path.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-            .filter(P.depth(F.col("path")) - root_depth <= max_depth))
+    out = raw.select(path.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    return out if max_depth is None else out.filter(P.depth(F.col("path")) - root_depth <= max_depth)
+
+
+def oversized(files: DataFrame, max_size: int = V.MAX_FILE_SIZE) -> DataFrame:
+    """(path, length, reason) of the files that a size limit leaves out."""
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
+    return files.filter(size > max_size).select("path", size.cast("bigint").alias("length"), F.lit("too_large").alias("reason"))
 
 
 def decode_text(files: DataFrame) -> DataFrame:
@@ -42,14 +48,14 @@ def text_corpus(df: DataFrame, path: Column, content: Column, repo: Column | Non
 
 
 def select_files(files: DataFrame, patterns: list[str] | None = None, variant: str = "base",
-                 max_size: int = V.MAX_FILE_SIZE) -> DataFrame:
-    """Ignore patterns, binary names and size, all on path and length only."""
+                 max_size: int | None = None) -> DataFrame:
+    """Ignore patterns, binary names and (where given) a size limit, all on path and length only."""
     size = F.col("length") if "length" in files.columns else F.octet_length("content")
     path = F.col("path")
     keep = ~P.is_ignored(path, patterns, variant)
     if variant == "base":
         keep = keep & ~P.is_binary_name(path)
-    return files.filter(keep & (size <= max_size))
+    return files.filter(keep if max_size is None else keep & (size <= max_size))
 
 
 def drop_binary(files: DataFrame) -> DataFrame:
@@ -64,14 +70,31 @@ def latest_objects(files: DataFrame, n: int = 10) -> DataFrame:
 
 
 def not_yet_scanned(files: DataFrame, done: DataFrame) -> DataFrame:
-    """Files whose path and content hash have no stored result."""
-    keyed = files.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    """(path, content_hash) of the files without a stored result for that path and content.  Texts are hashed where
+    they are and only the keys meet ``done``; read the files of these paths next (a text table bucketed by path meets
+    them without moving)."""
+    keyed = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
     return keyed.join(done.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
+def not_yet_listed(listing: DataFrame, done: DataFrame) -> DataFrame:
+    """Listed files (path, length, modified) without a stored result of the same length and time; no file is read."""
+    keys = ["path", "length", "modified"]
+    return listing.drop("content").join(done.select(*keys), keys, "left_anti")
+
+
+MARKER = r"suppress:([\w*-]+)(?:\s+(line|block|file))?"
+
+
+def suppressed_as_a_whole(content: Column) -> Column:
+    """A line whose first marker is ``suppress:* file``; found in the row, so the text meets no table of markers."""
+    first = r"(?dm)^(?:(?!suppress:[\w*-])[^\n])*+suppress:\*[^\S\n]+file"
+    return F.coalesce(content.contains("suppress:*") & content.rlike(first), F.lit(False))
+
+
 def inline_suppressions(files: DataFrame) -> DataFrame:
     """``suppress:<rule>`` comment markers with an optional scope (line, block, file)."""
-    marker = r"suppress:([\w*-]+)(?:\s+(line|block|file))?"
+    marker = MARKER
     lines = (files.filter(F.col("content").contains("suppress:"))
              .select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
              .filter(F.col("text").rlike(marker)))
@@ -96,13 +119,6 @@ def file_context(files: DataFrame, variant: str = "scan") -> DataFrame:
 # Corpora derived from the given tables
 # ---------------------------------------------------------------------------
 
-def spread(df: DataFrame) -> DataFrame:
-    """Scanning is CPU-bound.  A table of fewer splits than task slots is spread over them; a
-    large table already has more splits than slots and is left alone (no shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * slots) if df.rdd.getNumPartitions() < slots else df
-
-
 # (path middle and suffix, lines of code)
 SNIPPETS: list[tuple[str, str, list[str]]] = [
     ("/src/", ".go", ["package main", 'import "crypto/rsa"',
@@ -157,7 +173,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     file per part whose size is at most 3).  Every third part falls into ``repo0``, so one
     repository holds about a third of all files.  Path and content are functions of the row;
     the snippet list is a small dimension joined by position."""
-    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
     n = len(SNIPPETS)
     mids = F.array(*[F.lit(s[0]) for s in SNIPPETS])
     sufs = F.array(*[F.lit(s[1]) for s in SNIPPETS])
@@ -184,14 +200,14 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prose corpus as files; ``source`` plays the repository."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".dat")))
     return docs.select(F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"))
 
 
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents wrapped in code: long accented texts with matches before and after."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     n = len(SNIPPETS)
     body = F.array(*[F.lit("\n".join(s[2])) for s in SNIPPETS])
     sufs = F.array(*[F.lit(s[1]) for s in SNIPPETS])

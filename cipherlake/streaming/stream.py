@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlake.functions.text import java_pattern
 from cipherlake.operators import risk as RK
 from cipherlake.operators import scan as S
-from cipherlake.operators.rules import Rule, l0_rules, rules_table
+from cipherlake.operators.policy import apply_baseline
 
 
 def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -33,24 +32,9 @@ def scan_each_batch(files: DataFrame, target: str, checkpoint: str, transform=S.
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def line_hits(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Stateless row-at-a-time scan for a stream: one row per file, line and rule.  Rules whose
-    matches cross lines need the batch scan."""
-    rules = l0_rules() if rules is None else rules
-    text = F.col("text")
-    hits = [F.when(S.applies_to(r, F.col("language"), "l0") & text.rlike(java_pattern(r.pattern)), F.lit(r.rule_id)) for r in rules]
-    keep = [c for c in files.columns if c != "content"]
-    rows = files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
-    hit = rows.select(*keep, (F.col("i") + 1).alias("line"), "text", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
-    attrs = rules_table(files.sparkSession, rules).select("rule_id", "severity", "crypto_type", "message")
-    return hit.join(F.broadcast(attrs), "rule_id")
-
-
-def suppress(stream: DataFrame, baseline: DataFrame, as_of: Column) -> DataFrame:
-    """Baseline suppression of a stream: anti joins against the static baseline."""
-    from cipherlake.operators.policy import apply_baseline
-
-    return apply_baseline(stream, baseline, as_of)
+def suppress_each_batch(findings: DataFrame, baseline: DataFrame, as_of: Column, target: str, checkpoint: str):
+    """Baseline suppression of a stream of findings, batch by batch against the static baseline."""
+    return scan_each_batch(findings, target, checkpoint, lambda batch: apply_baseline(batch, baseline, as_of))
 
 
 def dedupe(stream: DataFrame, event_time: str, delay: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
@@ -70,3 +54,12 @@ def risk_windows(scored: DataFrame, event_time: str, length: str = "1 day", slid
 def running_totals(evaluations: DataFrame) -> DataFrame:
     """Running counts of an evaluation run, for complete or update mode."""
     return evaluations.groupBy("is_valid").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+def totals_each_batch(evaluations: DataFrame, target: str, checkpoint: str):
+    """Running totals, written anew after each batch to a folder of its own; the highest batch_id is the latest."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return (running_totals(evaluations).writeStream.outputMode("complete").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -152,7 +152,7 @@ def test_similar_sets_share_an_index_entry(data):
     entries = []
     for s in (a, b):
         shared = np.array(sorted(t for t in s if count[t] > 1), np.uint64)
-        entries.append(set(op5_jaccard.signatures(shared, np.array([count[int(t)] for t in shared]), len(s), (75, 100), 16).tolist()))
+        entries.append(set(op5_jaccard.signatures(shared, np.array([count[int(t)] for t in shared]), len(s), (75, 100), 16)[0].tolist()))
     assert entries[0] & entries[1]
 
 

@@ -49,6 +49,20 @@ def plain(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
+def numbering(number: dict[str, int]) -> Memo:
+    """Numbers of raw words: the benchmark's from 1, 0 for others, -1 for what has no letter or digit."""
+
+    def of(word: str) -> int:
+        low = word.lower()
+        found = number.get(low)
+        if found is None:
+            inner = low if low.isalnum() else plain(low)
+            found = number.get(inner, 0) if inner else -1
+        return found
+
+    return Memo(of, 400_000)
+
+
 def codes(ids: np.ndarray, n: int) -> np.ndarray:
     """A number for each run of n words; 0 where a word isn't the benchmark's."""
     if len(ids) < n:
@@ -106,13 +120,13 @@ def _index(items: list[tuple[int, list[str]]], docs: DataFrame, text_col: str, n
     number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(len(number) + 1, np.int64), Memo(lambda w: number.get(plain(w), 0))
+        total, memo = np.zeros(len(number) + 2, np.int64), numbering(number)
         for b in batches:
             for t in b["text"]:
                 words = Counter(t.split())
                 at = np.fromiter((memo[w] for w in words), np.int64, len(words))
                 np.add.at(total, at, np.fromiter(words.values(), np.int64, len(words)))
-        at = np.nonzero(total)[0]
+        at = np.nonzero(total[:-1])[0]  # the last is for what has no letter or digit
         yield pd.DataFrame({"word": at.astype(np.int32), "n": total[at]})
 
     bits = np.full(len(number) + 1, 40.0)
@@ -163,7 +177,7 @@ def leaks(indexes: list[Index], text: Column, threshold: float = THRESHOLD) -> C
         @F.pandas_udf(LEAK)
         def run(texts: pd.Series) -> pd.Series:
             if not memo:
-                memo.append(Memo(lambda w: index.number.get(p, 0) if (p := plain(w)) else -1))
+                memo.append(numbering(index.number))
             return pd.Series([one(t, memo[0]) for t in texts])
 
         def one(t: str | None, number: Memo) -> list:

@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SAMPLE = 2048
-_BUCKETS = 256
+from cipherlake.session import checkpoint
 
+_WITHIN = 33  # low bits of a generated id count the rows of a partition
 
-def with_bucket(df: DataFrame, order: Column, buckets: int = _BUCKETS) -> DataFrame:
-    """Add the range bucket of an order key.  Boundaries come from the 2,048 keys of smallest hash: a
-    uniform sample of fixed size, the same on every run, so buckets survive task retries."""
-    sample = (df.select(order.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(_SAMPLE)
-              .agg(F.array_sort(F.collect_list("k")).alias("ks")))
-    n = F.size("ks")
-    step = F.greatest(F.lit(1), F.floor(n / buckets).cast("int"))
-    bounds = sample.select(F.filter("ks", lambda x, i: (i % step) == 0).alias("bounds"))
-    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= order)), F.lit(0))
-    return df.withColumn("_bounds", bounds.scalar()).withColumn("_bucket", bucket).drop("_bounds")
 
-
-def global_index(df: DataFrame, *order: str, name: str = "seq", buckets: int = _BUCKETS) -> DataFrame:
+def global_index(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     """0-based position of every row in the order of the given columns (which must be unique).
 
-    Rows are numbered inside value ranges, and each range starts after the rows of the ranges
-    before it: one small aggregate plus one window per range."""
-    key = F.struct(*order)
-    tagged = with_bucket(df, key, buckets)
-    sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # one row per range, at most a few thousand
-    starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return (tagged.withColumn("_local", local).join(F.broadcast(starts), "_bucket")
-            .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
-            .drop("_bucket", "_start", "_local"))
+    The rows are dealt to ranges by Spark's own sampling, sorted and counted inside their range and stored once; each
+    range then starts after the rows of the ranges before it.  The starts are one row per partition."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    stored = checkpoint(ranged)
+    stored = stored.withColumns({"_part": F.shiftright("_id", _WITHIN), "_local": F.col("_id").bitwiseAND(F.lit((1 << _WITHIN) - 1))})
+    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return (stored.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
+            .drop("_id", "_part", "_local", "_start"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake.functions import severity as S
+from cipherlake.operators.ordering import global_index
 
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 # copies of an entry that covers all lines of a rule, so that one rule's findings meet it in many tasks
@@ -92,6 +93,11 @@ def top_by_confidence(findings: DataFrame, limit: int = 0) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
+def ranked_by_confidence(findings: DataFrame) -> DataFrame:
+    """All findings with their 0-based rank by confidence, highest first; no task sees them all."""
+    return global_index(findings.withColumn("_down", -F.col("confidence")), "_down", "finding_id", name="rank").drop("_down")
+
+
 def top_per_group(findings: DataFrame, group: str, limit: int) -> DataFrame:
     """Prioritised top findings of every group.  The rank filter is pushed below the shuffle
     (window group limit), so a hot group sends at most ``limit`` rows per task."""

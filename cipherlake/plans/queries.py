@@ -565,6 +565,19 @@ K.CTE["secret_rules"] = K.rule_values(SECRET_RULES)
 K.CTE["secrets"] = f"SELECT m.*, r.severity FROM ({K.matches('doc_plain', SECRET_RULES, 'base')}) m JOIN secret_rules r USING (rule_id)"
 
 
+# two more rules under one id, and one under an id of the list above: all are kept, each with its own positions
+MORE_RULES = [RU.Rule("common-word", r"\bthe\b", "info", "word", "WORD", message="First word"), RU.Rule("common-word", r"\bof\b", "low", "word", "WORD", message="Second word"),
+              RU.Rule("digits-16", r"\b\d{4}\b", "low", "secret", "DIGITS", message="Four digits in text")]
+
+
+@query("u3_rule_union", "SELECT path, rule_id, message, pos, CAST(line AS BIGINT) AS line, match_text FROM (SELECT m.*, r.message FROM secrets m JOIN secret_rules r USING (rule_id) "
+       + " ".join(f"UNION ALL BY NAME SELECT *, {K.q(r.message)} AS message FROM ({K.matches('doc_plain', [r], 'base')})" for r in MORE_RULES) + ")")
+def _(s, d):
+    table = RU.combine_rules(RU.rules_table(s, SECRET_RULES), RU.rules_table(s, MORE_RULES))
+    f = C.document_files(s, d).withColumn("language", F.lit(""))
+    return S.rule_scan(f, RU.rules_from_table(table)).select("path", "rule_id", "message", "pos", n64("line"), "match_text")
+
+
 @query("c2_x1_user_rules_on_prose", "SELECT path, rule_id, pos, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, match_text, context, severity FROM secrets")
 def _(s, d):
     f = C.document_files(s, d).withColumn("language", F.lit(""))

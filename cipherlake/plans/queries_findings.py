@@ -597,9 +597,7 @@ def _(s, d):
 
 @query("e40_errors", f"SELECT path, 'too large' AS error FROM mixed_files WHERE strlen(content) > 20000 UNION ALL SELECT path, 'binary' FROM mixed_files WHERE strlen(content) <= 20000 AND {K.BINARY_EXT}")
 def _(s, d):
-    size = F.octet_length("content")
-    err = F.when(size > 20000, "too large").when(P.is_binary_extension(F.col("path")), "binary")
-    return C.mixed_files(s, d).select("path", err.alias("error")).filter(F.col("error").isNotNull())
+    return C.read_failures(C.mixed_files(s, d), max_size=20000)
 
 
 @query("e41_progress", """SELECT CAST(count(*) AS BIGINT) AS done, CAST(20000 AS BIGINT) AS expected, round(count(*) * 100e0 / 20000, 6) AS percent, round(count(*) / 10e0, 6) AS per_minute, round((20000 - count(*)) / (count(*) / 10e0), 6) AS minutes_left FROM events""")
@@ -696,6 +694,11 @@ def _(s, d):
     return PO.top_by_confidence(scored(s, d), 100).select("finding_id", r6("confidence"))
 
 
+@query("f4_global_order", "SELECT finding_id, CAST(row_number() OVER (ORDER BY round(confidence, 6) DESC, finding_id) - 1 AS BIGINT) AS rank FROM l0_scored")
+def _(s, d):
+    return PO.ranked_by_confidence(scored(s, d).withColumn("confidence", F.round("confidence", 6))).select("finding_id", "rank")
+
+
 @query("f6_prioritized_top_k", f"SELECT finding_id, severity FROM base ORDER BY {K.PRIORITY_KEYS} LIMIT 50")
 def _(s, d):
     return PO.prioritize(base(s, d), 50).select("finding_id", "severity")

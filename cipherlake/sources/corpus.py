@@ -41,6 +41,16 @@ def looks_binary(content: Column) -> Column:
                       F.lit(False))
 
 
+def read_failures(files: DataFrame, max_size: int | None = None) -> DataFrame:
+    """(path, error) of files a scan can't take as they are, to keep beside its findings: larger than a limit that the
+    caller sets, binary by name, or text with broken UTF-8 (which is scanned with the broken bytes replaced)."""
+    raw = F.col("content").cast("binary")
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
+    large = F.lit(False) if max_size is None else size > max_size
+    error = F.when(large, "too large").when(P.is_binary_extension(F.col("path")), "binary").when(~F.is_valid_utf8(raw.cast("string")), "broken text")
+    return files.select("path", error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def text_corpus(df: DataFrame, path: Column, content: Column, repo: Column | None = None) -> DataFrame:
     """Use any text table as the corpus."""
     repo = F.split(path, "/")[0] if repo is None else repo

@@ -126,3 +126,55 @@ def test_plan_has_one_shuffle_of_short_rows(spark, sf_dir):
     executed = S.l0_scan(f)._jdf.queryExecution().executedPlan().toString()
     hash_exchanges = [line for line in executed.splitlines() if "Exchange hashpartitioning" in line]
     assert len(hash_exchanges) == 1 and plan
+
+
+def exchanged_columns(df):
+    """Names of the columns that any exchange of the plan moves."""
+    found, todo = set(), [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.initialPlan())
+            continue
+        if "Exchange" in name:
+            found |= {node.output().apply(i).name() for i in range(node.output().size())}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_texts_stay_where_they_are(spark, sf_dir):
+    """No exchange moves file texts: layered scan, profile, suppressions, incremental scan."""
+    from cipherlake.operators import profile as PR
+    from cipherlake.plans import jobs as J
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f = C.file_context(C.code_files(spark, sf_dir))
+        scan = J.layered_scan(f)
+        done = f.filter("repo = 'repo0'").select("path", F.sha2(F.col("content"), 256).alias("content_hash"))
+        frames = [scan["L0"], scan["L1"], scan["L2"], scan["findings"], C.not_yet_scanned(f, done), S.rule_scan(f),
+                  PR.filter_by_profile(f.select("path", "repo"), PR.ignore_patterns(PR.project_languages(f)))]
+        for df in frames:
+            moved = exchanged_columns(df)
+            assert moved and not moved & {"content", "content_lower", "pieces"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_and_repeated_files_are_scanned(spark):
+    """Files over five and over ten MiB give findings, and files of one path don't mix their positions."""
+    pad = "value = 1 \n" * 600_000
+    rows = [("r/a.go", "r", "go", "x := md5.New()\n" + pad), ("r/a.go", "r", "go", pad + pad + "y := md5.New()\n")]
+    f = spark.createDataFrame(rows, "path string, repo string, language string, content string")
+    got = sorted((r["pos"], r["line"]) for r in S.rule_scan(f).filter("match_text like '%md5%'").collect())
+    assert {p for p, _ in got} >= {5} and max(line for _, line in got) == 1_200_001
+
+
+def test_rules_of_one_id_keep_their_positions(spark):
+    rules = [RU.Rule("dup", "foo", "low", message="a"), RU.Rule("dup", "bar", "high", message="b")]
+    f = spark.createDataFrame([("r/a.c", "r", "c", "x foo y bar z foo")], "path string, repo string, language string, content string")
+    got = sorted((r["pos"], r["match_text"], r["severity"]) for r in S.rule_scan(f, rules).collect())
+    assert got == [(2, "foo", "low"), (8, "bar", "high"), (14, "foo", "low")]
+    problems = RU.validate_rules(RU.rules_table(spark, [RU.Rule("e", "x*", "low", message="m"), RU.Rule("p", r"\p{Lu}+foo", "low", message="m"), RU.Rule("n", "(?P<n>a)", "low", message="m")])).collect()
+    assert {(r["rule_id"], r["problem"]) for r in problems} == {("e", "pattern matches nothing"), ("n", "pattern does not compile")}

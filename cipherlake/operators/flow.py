@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +18,27 @@ def words(text: Column) -> Column:
                     lambda w: (F.octet_length(w) > 2) & ~w.rlike(r"[(){}\[\]<>]"))
 
 
-def _tagged_lines(text_lines: DataFrame, patterns: list[tuple[str, str, object]], name: str, value: str) -> DataFrame:
+def _tagged_lines(files: DataFrame, patterns: list[tuple[str, str, object]], name: str, value: str) -> DataFrame:
     tags = [F.when(F.col("text").rlike(java_pattern(p)), F.struct(F.lit(i).alias(name), F.lit(v).alias(value)))
             for i, p, v in patterns]
-    return text_lines.select("path", "line", "text", F.explode(F.array_compact(F.array(*tags))).alias("t")) \
+    # only files in which a pattern can match at all are cut into lines
+    some = functools.reduce(lambda x, y: x | y, [F.col("content").rlike("(?m)" + java_pattern(p)) for _, p, _ in patterns])
+    return lines(files.filter(some)).select("path", "line", "text", F.explode(F.array_compact(F.array(*tags))).alias("t")) \
         .select("path", "line", "text", f"t.{name}", f"t.{value}")
 
 
 def taint_sources(files: DataFrame) -> DataFrame:
     """Lines where outside data enters, by kind and level."""
-    return _tagged_lines(lines(files), V.TAINT_SOURCES, "source_id", "taint_level")
+    return _tagged_lines(files, V.TAINT_SOURCES, "source_id", "taint_level")
 
 
 def taint_sinks_text(files: DataFrame) -> DataFrame:
     """Declared sink patterns found on lines."""
-    return _tagged_lines(lines(files), V.TAINT_SINKS, "sink_id", "sink_severity")
+    return _tagged_lines(files, V.TAINT_SINKS, "sink_id", "sink_severity")
 
 
 def sanitizers(files: DataFrame) -> DataFrame:
-    return _tagged_lines(lines(files), V.SANITIZERS, "sanitizer_id", "effectiveness")
+    return _tagged_lines(files, V.SANITIZERS, "sanitizer_id", "effectiveness")
 
 
 def taint_sinks(l1: DataFrame) -> DataFrame:

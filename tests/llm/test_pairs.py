@@ -156,6 +156,20 @@ def test_similar_sets_share_an_index_entry(data):
     assert entries[0] & entries[1]
 
 
+def test_histogram_bounds_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 48, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base[: rng.integers(60, 300)])[: rng.integers(50, 300)], rng.integers(0, 1 << 48, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(60)]
+    n = np.array([len(x) for x in sets])
+    root = np.arange(60) // 2
+    hist = [op5_jaccard.histogram(x, len(x)) if k % 9 else None for k, x in enumerate(sets)]
+    got = {tuple(sorted(p)) for i, j in op5_jaccard.bounded_pairs(n, hist, lambda i, j: root[i] != root[j], (75, 100), strip=3000) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    inter = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    every = [(a, b) for a in range(60) for b in range(a + 1, 60) if root[a] != root[b]]
+    similar = {(a, b) for a, b in every if 100 * inter(a, b) >= 75 * (n[a] + n[b] - inter(a, b))}
+    assert similar and similar <= got < set(every)
+
+
 def test_token_blocks_come_back():
     rng = np.random.default_rng(1)
     for tokens in (np.sort(rng.integers(0, 1 << 48, 500, dtype=np.uint64)), np.array([7], np.uint64), np.array([1, 1, 2, (1 << 48) - 1], np.uint64)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable
 
@@ -21,6 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files that nothing can read any more. It does so when the driver's garbage is collected,
+    which on a driver with memory to spare may be much later than a large lineage was cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: Column, parts: int, held: int) -> Column:
     """True where crc32 of the id as text has remainder `held`; false for null ids."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == held, F.lit(False))

@@ -328,6 +328,8 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     release(spark)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     met = member.where((F.col("ref") != F.col("c_ref")) & may_link("", "c_"))
+    # each document meets the one of them with which it shares most entries; the rounds below see to the others
+    met = met.groupBy("ref", "c_ref").agg(F.count("*").alias("shared")).groupBy("ref").agg(F.max_by("c_ref", F.struct("shared", "c_ref")).alias("c_ref"))
     links = linked(met.select(*pair("ref", "c_ref")).distinct(), pool, similarity)
     same = sets.where(F.col("entries").isNotNull()).groupBy("print").agg(F.min("ref").alias("a"), F.max("ref").alias("z")).where("a < z")
     copies = sets.where(F.col("entries").isNotNull()).select("print", F.col("ref").alias("b")).join(same, "print").where("a < b").select("a", "b")
@@ -337,7 +339,7 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     roots = components(links, "a", "b")
 
     # entries that still hold more than one component: the most central document outside the main component meets those
-    # of other components, as long as that joins enough; what is left then is compared in tiles
+    # of other components, as long as entries are larger than a tile and that joins enough; the rest is compared in tiles
     left, before = member.select("entry", "apart", "ref", "n", "place"), None
     while True:
         held = left.join(roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
@@ -348,7 +350,7 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
         LOG.debug("entries of several components: %d members, %d pairs", members, work)
         if members == 0:
             break
-        last = work <= 4 * members or (before is not None and work > 0.7 * before)
+        last = work <= TILE * members or (before is not None and work > 0.7 * before)
         before = work
         if last:
             found = _tiled(open_, pool, similarity)

@@ -6,10 +6,11 @@ pairs by themselves. Each seed pairs every later document with the first documen
 documents gives as many pairs, not their square. A pair is aligned by patience diff: lines that are unique in both
 documents anchor the alignment, the longest increasing chain of anchors is kept, and the gaps are aligned alike; a gap
 without such lines is anchored at its least frequent common line. Aligned runs with at least `min_words` words are deleted
-from the later document, and what is left is aligned again until no such run is found.
+from the later document, and so are the seeds that both hold in places that the alignment doesn't bring together: blocks in
+another order, blocks that shared short lines cross, and blocks that come twice.
 
-Two documents that share a run of that size share the seed at its start, so no such run goes unseen. Only hashes are
-joined and aligned; texts are exchanged once, to meet the list of their deleted lines."""
+Two documents that share a run of that size share the seed at its start, so no such run goes unseen. Only hashes are joined and aligned; texts are
+exchanged once, to meet the list of their deleted lines."""
 
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ def _hash(text: str) -> int:
 
 
 def profile_of(text: str, min_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Numbers, hashes and word counts of the lines that aren't blank, and the seeds."""
+    """Numbers, hashes and word counts of the lines that aren't blank, and the hashes of the seeds."""
     at, hashes, words = [], [], []
     for k, line in enumerate(text.split("\n")):
         plain = line.split()
@@ -46,16 +47,30 @@ def profile_of(text: str, min_words: int) -> tuple[list[int], list[int], list[in
             at.append(k)
             hashes.append(_hash(" ".join(plain)))
             words.append(len(plain))
-    seeds, end, size = [], 0, 0
-    for k in range(len(hashes)):
-        while end < len(hashes) and size < min_words:
+    seeds = [hashes[k] if end == k + 1 else _hash(",".join(map(str, hashes[k:end]))) for k, end in dict(shortest_runs(words, min_words)[::-1]).items()]
+    return at, hashes, words, seeds
+
+
+def shortest_runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs with at least min_words words that are the shortest to start or the shortest to end at a line."""
+    runs, end, size = set(), 0, 0
+    for k in range(len(words)):
+        while end < len(words) and size < min_words:
             size += words[end]
             end += 1
         if size < min_words:
             break
-        seeds.append(hashes[k] if end == k + 1 else _hash(",".join(map(str, hashes[k:end]))))
+        runs.add((k, end))
         size -= words[k]
-    return at, hashes, words, seeds
+    start = size = 0
+    for k, n in enumerate(words):
+        size += n
+        while start < k and size - words[start] >= min_words:
+            size -= words[start]
+            start += 1
+        if size >= min_words:
+            runs.add((start, k + 1))
+    return sorted(runs)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -106,22 +121,21 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Indices of b in aligned runs (next to each other in both) with at least min_words words. What an alignment
-    leaves over is aligned again, so that blocks in another order, or twice in b, are found too."""
-    out, left = set(), list(b)
-    while True:
-        run, new = [], []
-        for i, j in [*patience(a, left), (-9, -9)]:
-            if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
-                if sum(words[q] for _, q in run) >= min_words:
-                    new += [q for _, q in run]
-                run = []
-            run.append((i, j))
-        if not new:
-            return sorted(out)
-        out.update(new)
-        for q in new:
-            left[q] = None
+    """Indices of b in runs with at least min_words words that a has too: aligned ones (next to each other in both), and
+    those that an alignment leaves over, in another order, crossed by other common lines, or twice in b."""
+    out, run = set(), []
+    for i, j in [*patience(a, b), (-9, -9)]:
+        if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
+            if sum(words[q] for _, q in run) >= min_words:
+                out.update(q for _, q in run)
+            run = []
+        run.append((i, j))
+    size = dict(zip(b, words, strict=True))
+    held = {tuple(a[p:q]) for p, q in shortest_runs([size.get(x, min_words) for x in a], min_words)}  # lines that b lacks match nothing
+    for p, q in shortest_runs(words, min_words):
+        if tuple(b[p:q]) in held:
+            out.update(range(p, q))
+    return sorted(out)
 
 
 def find(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:

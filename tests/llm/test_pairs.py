@@ -97,6 +97,25 @@ def test_line_dedup_keeps_clean_documents_and_edges(spark):
     assert sorted((str(r["doc_id"]), len(r["text"]) > 0) for r in op1_lines.dedup(twice).collect()) == [("4", True), ("4", True), ("None", False), ("None", False)]
 
 
+def test_blocks_that_shared_short_lines_cross(spark):
+    """A block goes wherever it lies between lines that both documents have, however many of those there are."""
+    long, block, short = prose(11, 60), [prose(20 + k, 15) for k in range(4)], [f"heading {k}" for k in range(6)]
+    rows = [(1, "\n".join(["l1", long])), (2, "\n".join([long, "l1"])), (3, "\n".join([*short, *block])), (4, "\n".join([*block, *short]))]
+    got = {r["doc_id"]: r for r in op1_lines.dedup(documents(spark, rows)).collect()}
+    assert got[2]["text"] == "l1" and got[2]["dedup_sources"] == [1]
+    assert got[4]["text"] == "\n".join(short) and got[4]["dedup_sources"] == [3]
+    assert got[1]["dedup_removed"] == got[3]["dedup_removed"] == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=25), st.lists(st.integers(1, 9), max_size=25))
+def test_repeated_is_every_common_run(a, b):
+    words = lambda x: [3 * k for k in x]
+    runs = {tuple(a[p:q]) for p in range(len(a)) for q in range(p + 1, len(a) + 1)}
+    want = {k for p in range(len(b)) for q in range(p + 1, len(b) + 1) if sum(words(b[p:q])) >= 20 and tuple(b[p:q]) in runs for k in range(p, q)}
+    assert op1_lines.repeated(a, b, words(b), 20) == sorted(want)
+
+
 # --- Jaccard join
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-Documents are sequences of line hashes. A seed is the shortest run of lines that starts at a line and has at least
+Documents are sequences of line hashes. A seed is the shortest run of lines that starts or ends at a line and has at least
 `min_words` words: much rarer than a line, so short lines that thousands of documents share (licences, headings) bring no
 pairs by themselves. Each seed pairs every later document with the first document that holds it, so a seed in thousands of
 documents gives as many pairs, not their square. A pair is aligned by patience diff: lines that are unique in both
@@ -9,7 +9,9 @@ without such lines is anchored at its least frequent common line. Aligned runs w
 from the later document, and so are the seeds that both hold in places that the alignment doesn't bring together: blocks in
 another order, blocks that shared short lines cross, and blocks that come twice.
 
-Two documents that share a run of that size share the seed at its start, so no such run goes unseen. Only hashes are joined and aligned; texts are
+Each line of a run of that size lies in a seed within the run: one that starts or ends at the line or, where the run has
+fewer words on either side, the one that starts the run. So any line in a run of `min_words` words that some earlier document
+has goes, also where different documents hold the two ends of a block. Only hashes are joined and aligned; texts are
 exchanged once, to meet the list of their deleted lines."""
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def profile_of(text: str, min_words: int) -> tuple[list[int], list[int], list[in
             at.append(k)
             hashes.append(_hash(" ".join(plain)))
             words.append(len(plain))
-    seeds = [hashes[k] if end == k + 1 else _hash(",".join(map(str, hashes[k:end]))) for k, end in dict(shortest_runs(words, min_words)[::-1]).items()]
+    seeds = [hashes[k] if end == k + 1 else _hash(",".join(map(str, hashes[k:end]))) for k, end in shortest_runs(words, min_words)]
     return at, hashes, words, seeds
 
 

@@ -107,6 +107,14 @@ def test_blocks_that_shared_short_lines_cross(spark):
     assert got[1]["dedup_removed"] == got[3]["dedup_removed"] == []
 
 
+def test_block_ends_beyond_the_first_holder(spark):
+    """The end of a block goes although the first holder of its seeds lacks it; sources name both."""
+    x, y, z = prose(30, 25), prose(31, 8), prose(32, 6)
+    rows = [(1, "\n".join(["a b", x, "c d"])), (2, "\n".join(["e f", x, y, z, "g h"])), (3, "\n".join(["i j", x, y, z, "k l"])), (4, "\n".join(["m n", z, x, "o p"]))]
+    got = {r["doc_id"]: (r["text"], r["dedup_sources"]) for r in op1_lines.dedup(documents(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], []), 2: ("\n".join(["e f", y, z, "g h"]), [1]), 3: ("i j\nk l", [1, 2]), 4: (f"m n\n{z}\no p", [1])}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 9), max_size=25), st.lists(st.integers(1, 9), max_size=25))
 def test_repeated_is_every_common_run(a, b):

@@ -81,7 +81,7 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All matches of all patterns: key, kind, base, start, end, match, before, after."""
+    """All matches of all patterns, once for rows equal in id and text: key, kind, base, start, end, match, before, after."""
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     none = F.array().cast("array<string>")
     found = []
@@ -93,7 +93,8 @@ def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = keyed.where(F.rlike("text", F.lit(r"(?i)[0-9@]|[\[({] ?at ?[\])}]| dot "))).select("key", F.explode(F.array(*found)).alias("p")).where(F.size("p.found") > 0).select("key", "p.*")
     pieces = F.transform("found", lambda m, i: F.struct(i.alias("i"), m.alias("match"), F.length(F.get("pieces", i)).alias("gap"), F.right(F.get("pieces", i), F.lit(40)).alias("before"),
                                                         F.left(F.get("pieces", i + 1), F.lit(20)).alias("after")))
-    rows = rows.select("key", "kind", "base", F.explode(pieces).alias("x")).select("key", "kind", "base", "x.*")
+    # rows of equal keys are one document: their pieces count once in the sums
+    rows = rows.select("key", "kind", "base", F.explode(pieces).alias("x")).select("key", "kind", "base", "x.*").dropDuplicates(["key", "kind", "base", "i"])
     upto = W.partitionBy("key", "kind", "base").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum(F.col("gap").cast("long") + F.length("match")).over(upto)
     return rows.withColumn("end", end).select("key", "kind", "base", (F.col("end") - F.length("match")).alias("start"), "end", "match", "before", "after")

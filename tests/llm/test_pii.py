@@ -88,3 +88,14 @@ def test_pii_edges(spark):
     rows = op8_pii.find(edge_docs(spark)).collect()
     assert len(rows) == len(edge_rows())
     assert op8_pii.find(no_docs(spark)).collect() == []
+
+
+def test_repeated_rows_have_the_spans_of_their_text(spark):
+    text = "mail bob@ex.org, ann@ex.org or 10.0.0.1, card 4111 1111 1111 1111, call +1 (988) 555-2485"
+    rows = [(1, text), (1, text), (1, "bob@ex.org"), (None, text), (None, text), (None, "see 10.0.0.1"), (2, text)]
+    docs = documents(spark, rows)
+    got = op8_pii.find(docs).collect()
+    spans = lambda found: [(s["kind"], s["start"], s["end"]) for s in found if s["base"]]
+    assert sorted(map(str, ((r["doc_id"], spans(r["found"])) for r in got))) == sorted(map(str, ((i, plain(t)) for i, t in rows)))
+    cut = "mail <email>, <email> or <ip>, card <card>, call <phone>"
+    assert sorted(map(str, map(tuple, op8_pii.redact(docs).collect()))) == sorted(map(str, [(1, cut), (1, cut), (1, "<email>"), (None, cut), (None, cut), (None, "see <ip>"), (2, cut)]))

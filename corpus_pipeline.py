@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlake.llm import op1_lines, op2_quality, op3_packing, op5_jaccard, op6_decontamination
-from cipherlake.llm.common import fold, table
+from cipherlake.llm.common import cut, fold, table
 from cipherlake.session import scratch
 
 QUALITY_AT_LEAST = 0.5
@@ -37,10 +37,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id. Documents of null id form groups of their own
-    kind and stay; of rows with equal id and text, which are one document, one stays."""
-    classes = op5_jaccard.classes(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one document, the first in the order of row_key(): the smallest id, null last, and
+    of equal ids the smallest hash of the text. Rows equal in id (null or not) and text are one document, of which one
+    stays. A row goes for its own text only, never for the text of another row with its id."""
+    own = op1_lines.row_key(F.col("doc_id"), F.col("text"))
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    # the row's key as a string of the same order
+    key = F.concat(own["missing"].cast("int").cast("string"), digits(own["id"].bitwiseXOR(F.lit(-(1 << 63)))), digits(own["hash"].bitwiseXOR(F.lit(-(1 << 63)))))
+    keyed = docs.withColumn("_near_key", key)
+    found = op5_jaccard.classes(keyed.select("_near_key", "text"), id_col="_near_key").groupBy("_near_key").agg(F.min("component_id").alias("first"), F.count("*").alias("copies"))
+    marks = cut(found.withColumn("_near_first", F.col("first") == F.col("_near_key")).where(~F.col("_near_first") | (F.col("copies") > 1)).select("_near_key", "_near_first"))
+    alone = keyed.join(marks, "_near_key", "left_anti")
+    copies = keyed.join(marks.where("_near_first"), "_near_key", "left_semi").dropDuplicates(["_near_key"])
+    return alone.unionByName(copies).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from cipherlake.llm import catalog, op1_lines, op6_decontamination
-from tests.llm.fixtures import edge_docs, no_docs
+from tests.llm.fixtures import documents, edge_docs, no_docs, prose
 from tests.llm.test_packing import check_packed
 from tests.llm.test_pairs import plain_set, roots
 
@@ -69,6 +69,15 @@ def test_one_document_of_each_near_duplicate_group_stays(stages):
     assert set(after) == {i for i in ids if top[i] == i} and all(after[i] == before[i] for i in after)
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark, sf_dir):
+    same, near, other, third, fourth = prose(1, 200), prose(1, 200) + " more", prose(2, 200), prose(3, 200), prose(4, 200)
+    rows = [(None, same), (None, same), (None, near), (-7, other), (-7, other), (-7, third), (3, third + " more"), (5, other + " more"), (5, fourth), (None, fourth + " more"), (None, prose(5, 200)), (6, None), (7, "")]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), sf_dir).collect()]
+    nulls = [t for i, t in got if i is None]
+    assert len(nulls) == 2 and prose(5, 200) in nulls and (same in nulls or near in nulls)
+    assert sorted((r for r in got if r[0] is not None), key=str) == sorted([(-7, other), (-7, third), (5, fourth), (6, None), (7, "")], key=str)
+
+
 def test_documents_with_benchmark_passages_go(spark, sf_dir, stages):
     before, after = stages[0][2], stages[0][3]
     items = [[w for w in map(op6_decontamination.plain, r["text"].split()) if w] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -10,7 +10,8 @@ hold them:
 * if the prefix reaches frequent tokens, it is extended to 2 (1 - t) n + 2 tokens, and combinations of two frequent tokens
   that follow each other are indexed. A and B differ in at most 2 (1 - t) n places, weighted as they break neighbours in
   A, so at least two common tokens follow each other in both extended prefixes: no link is lost, and a token in thousands
-  of documents never brings its documents together by itself.
+  of documents never brings its documents together by itself. This holds for thresholds above 2/3; for 2/3 and less
+  frequent tokens of the prefix are indexed alone like rare ones.
 
 Only documents with at least t n tokens that others hold can have a partner; the rest ends here. Candidates are verified on
 whole sets: common tokens are never unique, so a document's shared tokens and its size suffice, and texts are read once.
@@ -111,6 +112,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, similarity: tuple
     places = unique + np.arange(len(alone))
     if counts[short - 1] <= rare:
         return alone, places
+    if 3 * similarity[0] <= 2 * similarity[1]:  # too few common tokens for neighbouring pairs
+        return tokens[:short], unique + np.arange(short)
     longer = 2 * (similarity[1] - similarity[0]) * n // similarity[1] + 2 - unique
     frequent = tokens[:longer][counts[:longer] > rare]
     return np.concatenate([alone, _mixed(_mixed(frequent[:-1] + _ODD[0]) + frequent[1:])]), np.concatenate([places, np.zeros(max(0, len(frequent) - 1), np.int64)])

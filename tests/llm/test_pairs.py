@@ -126,6 +126,12 @@ def test_repeated_is_every_common_run(a, b):
 
 # --- Jaccard join
 
+@pytest.mark.parametrize("a, b, similarity", [([1, 2, 3, 4], [1, 3, 5, 4], (60, 100)), ([1], [1, 2], (50, 100)), ([1, 3], [1, 2, 3], (2, 3))])
+def test_sets_of_frequent_tokens_share_an_entry_at_low_similarities(a, b, similarity):
+    entries = [set(op5_jaccard.signatures(np.array(x, np.uint64), np.array([100 + t for t in x]), len(x), similarity, 16)[0].tolist()) for x in (a, b)]
+    assert entries[0] & entries[1]
+
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -5,8 +5,9 @@ disguised mail addresses, long and defanged network addresses, cards and phone n
 on every candidate, for, against or not at all: the pattern it comes from, gazetteers (top-level domains, issuer numbers,
 reserved networks), the words before it, the characters around it, and digit counts and checksums. Expectation-
 maximisation over the counts of vote patterns estimates each labeler's reliability and each pattern's probability; a
-logistic classifier of span features, trained on those probabilities, has the last word on candidates that don't
-overlap a base span.
+logistic classifier of span features, trained on those probabilities, decides on candidates that don't overlap a base
+span. Besides, a candidate needs two votes for it and none against, whatever the classifier says: a phone number after
+"order" stays out, but so do `phone=(555) 123-4567` and `//10[.]1[.]1[.]1/x`, as '=' and '/' at an edge are votes against.
 
 Texts are cut at the matches inside their task; only short pieces are exchanged, keyed by document and pattern, where
 running sums give code-point offsets. Vote patterns and feature patterns are few whatever the corpus (their number is
@@ -162,7 +163,7 @@ def classifier(rows: list[tuple[np.ndarray, float, float]], rounds: int = 400, r
 
 
 def _accepted(cands: DataFrame) -> DataFrame:
-    """Candidates of loose patterns that the classifier of their kind takes."""
+    """Candidates of loose patterns that the classifier of their kind takes, with two votes for them and none against."""
     table = cands.groupBy("kind", *LABELERS, *[f for f in FEATURES if f not in LABELERS]).agg(F.count("*").alias("n")).collect()
     score = F.lit(-1.0)
     for kind in KINDS:

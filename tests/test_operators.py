@@ -1,6 +1,7 @@
 """Invariants and small cases of the operators after the scan."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,20 @@ def test_stream_scan_equals_batch(spark, sf_dir, tmp_path):
     ST.scan_each_batch(C.file_context(stream), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     a = spark.read.parquet(str(tmp_path / "out")).select("finding_id").distinct().count()
     assert a == Q.l0(spark, sf_dir).count()
+
+
+def test_stream_dedupe_over_several_batches(spark, tmp_path):
+    """Repeats within the delay go, repeats after it come again, and late rows go, by the watermark of the batch before."""
+    from cipherlake.streaming import stream as ST
+
+    batches = [[("10:00", "a"), ("10:05", "b")], [("12:00", "c"), ("10:30", "a")], [("12:20", "e"), ("12:25", "c")], [("10:10", "late"), ("12:30", "a")]]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(batches):
+        made = spark.createDataFrame([(f"2024-01-01 {t}:00", p, 1, "r") for t, p in rows], "ts string, path string, line long, rule_id string").withColumn("ts", F.col("ts").cast("timestamp"))
+        made.coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        part = next((tmp_path / f"made{k}").glob("*.parquet"))
+        (tmp_path / "in" / f"{k}.parquet").write_bytes(part.read_bytes())
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = ST.dedupe(ST.stream_table(spark, str(tmp_path / "in"), "ts timestamp, path string, line long, rule_id string", max_files=1), "ts")
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "a", "b", "c", "e"]

@@ -30,7 +30,7 @@ def stages(spark, sf_dir, tmp_path_factory):
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_jaccard", "decontamination", "packing"]
     assert entry_point.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES) == list(range(1, 14))
     assert set(catalog.QUERIES) <= set(entry_point.queries())
 
 

@@ -20,7 +20,7 @@ the spans of one document."""
 
 from __future__ import annotations
 
-import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherlake.llm.common import Memo, cut, release
+from cipherlake.llm.common import Memo, release
 from cipherlake.operators.ordering import global_index
 from cipherlake.session import scratch
 
 WORDS, GRAM = 13, 5
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _PRINT = np.uint64((1 << 61) - 1)
 NO_ID = (1 << 63) - 1  # the place of null ids in the order
 
@@ -48,32 +49,37 @@ def _hashes(words: list[bytes], memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _ODD[seed]
-    return h ^ (h >> np.uint64(29))
-
-
 def runs(ids: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of n words."""
+    """A hash of each run of n words: a polynomial of the words' hashes, mixed."""
     if len(ids) < n:
         return np.empty(0, np.uint64)
-    h = np.full(len(ids) - n + 1, n, np.uint64)
-    for j in range(n):
-        h = _mixed(h * _ODD[2] + ids[j : len(ids) - n + 1 + j], seed)
-    return h
+    last = len(ids) - n + 1
+    h = ids[:last].copy()
+    for j in range(1, n):
+        h *= _ODD[seed]
+        h += ids[j : last + j]
+    for shift in (np.uint64(32), np.uint64(29)):
+        h ^= h >> shift
+        h *= _MIX
+    return h ^ (h >> np.uint64(32))
 
 
 def minimisers(ids: np.ndarray, k: int, gram: int) -> np.ndarray:
     """The smallest hash of the runs of `gram` words of each window of k words."""
     if len(ids) < k:
         return np.empty(0, np.uint64)
-    h, wide = runs(ids, gram, 3), 1
+    h, wide = runs(ids, gram, 2), 1
     while wide * 2 <= k - gram + 1:  # smallest of 1, 2, 4 .. neighbours
         h, wide = np.minimum(h[:-wide], h[wide:]), wide * 2
     rest = k - gram + 1 - wide
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
+def stretches(values: np.ndarray) -> np.ndarray:
+    """Where stretches of equal neighbours start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -89,7 +95,7 @@ def _profiles(rows: DataFrame, k: int, gram: int) -> DataFrame:
                 for text in part["text"]:
                     words = words_of(text)
                     least = minimisers(_hashes(words, memo), k, gram)
-                    out.append((len(words), hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest(), np.unique(least).view(np.int64)))
+                    out.append((len(words), xxhash.xxh3_128_hexdigest(b" ".join(words)), np.unique(least[stretches(least)]).view(np.int64)))
                 yield pd.DataFrame({"id": part["id"], "hash": part["hash"], "n": [o[0] for o in out], "print": [o[1] for o in out], "minimisers": [o[2] for o in out]})
 
     return rows.mapInPandas(run, "id long, hash long, n long, print string, minimisers array<long>")
@@ -105,7 +111,9 @@ def _edges(walks: DataFrame, k: int, gram: int, shift: int) -> DataFrame:
         for b in batches:
             for ref, text, shared in zip(b["ref"], b["text"], b["shared"], strict=True):
                 ids = _hashes(words_of(text), memo)
-                keep = np.flatnonzero(np.isin(minimisers(ids, k, gram).view(np.int64), np.asarray(shared, np.int64)))
+                least = minimisers(ids, k, gram).view(np.int64)
+                at = stretches(least)
+                keep = np.flatnonzero(np.repeat(np.isin(least[at], np.asarray(shared, np.int64)), np.diff(np.append(at, len(least)))))
                 around = np.concatenate([[np.uint64(0)], ids | np.uint64(1), [np.uint64(0)]])
                 second = np.concatenate([[np.uint64(0)], np.cumsum(runs(ids, k, 1))]) & _PRINT
                 made.append(np.stack([runs(ids, k)[keep].view(np.int64), keep + (int(ref) << shift), around[keep].view(np.int64), around[keep + k + 1].view(np.int64), second[keep].view(np.int64)]))
@@ -119,12 +127,22 @@ def _edges(walks: DataFrame, k: int, gram: int, shift: int) -> DataFrame:
     return walks.select("ref", "text", "shared").mapInPandas(run, "edge long, at long, before long, after long, sum long")
 
 
-def paths(edges: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Store df as a table in the shared folder, have Spark remove the exchanges behind it, and go on from the table.
+    Spark's event queues hold the plan of the last job until another one ends, so a small one comes in between."""
+    df.write.parquet(path)
+    df.sparkSession.range(1).collect()
+    time.sleep(0.3)
+    release(df.sparkSession)
+    return df.sparkSession.read.parquet(path)
+
+
+def paths(edges: DataFrame, folder: str) -> DataFrame:
     """(edge, path, offset, last): the two ends (one, if they are the same edge) of each path without branches of edges
     that several documents hold; path is the coordinate of its start in the earliest source, offset the end's place in it."""
     counted = edges.groupBy("edge").agg(F.min("at").alias("at"), F.max("doc").alias("most"), F.min("doc").alias("least"),
                                         *[(F.min(c) == F.max(c)).alias(f"one_{c}") for c in ("before", "after")]).where("least < most")
-    counted = cut(counted.select("edge", "at", "least", "one_before", "one_after"))
+    counted = _stored(counted.select("edge", "at", "least", "one_before", "one_after"), f"{folder}/repeated")
     after = counted.select((F.col("at") - 1).alias("at"), F.col("one_before").alias("next_one"))
     before = counted.select((F.col("at") + 1).alias("at"), F.col("one_after").alias("last_one"))
     linked = counted.join(after, "at", "left").join(before, "at", "left")
@@ -137,11 +155,12 @@ def paths(edges: DataFrame) -> DataFrame:
     return limits.select("edge", start.alias("path"), (F.col("at") - start).alias("offset"), (stop - start).alias("last"))
 
 
-def spans(edges: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+def spans(edges: DataFrame, ends: DataFrame, k: int, folder: str) -> DataFrame:
     """(at, path, length in words): the places where a path's verified copies start, the earliest one left out."""
     found = edges.join(ends, "edge").select("path", "last", "offset", (F.col("at") - F.col("offset")).alias("at"), "sum")
     copies = found.groupBy("path", "last", "at").agg(F.max(F.when(F.col("offset") == 0, F.col("sum"))).alias("head"), F.max(F.when(F.col("offset") == F.col("last"), F.col("sum"))).alias("tail"))
-    copies = cut(copies.where("head is not null and tail is not null").select("path", "last", "at", F.pmod(F.col("tail") - F.col("head"), F.lit(int(_PRINT) + 1)).alias("print")))
+    copies = copies.where("head is not null and tail is not null").select("path", "last", "at", F.pmod(F.col("tail") - F.col("head"), F.lit(int(_PRINT) + 1)).alias("print"))
+    copies = _stored(copies, f"{folder}/copies")
     source = copies.where("at = path").select("path", F.col("print").alias("source_print"))
     return copies.where("at != path").join(source, "path").where("print = source_print").select("at", "path", (F.col("last") + k).alias("length"))
 
@@ -152,30 +171,25 @@ def repeated(docs: DataFrame, k: int = WORDS, gram: int = GRAM, id_col: str = "d
     spark = docs.sparkSession
     folder = scratch(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
-    _profiles(rows.where(F.length("text") > 0), k, gram).where(F.col("n") >= k).write.parquet(f"{folder}/profiles")
-    profiles = spark.read.parquet(f"{folder}/profiles")
+    profiles = _stored(_profiles(rows.where(F.length("text") > 0), k, gram).where(F.col("n") >= k), f"{folder}/profiles")
     number = F.conv(F.substring("print", 1, 15), 16, 10).cast("long")
     single = profiles.select(number.alias("walk"), F.explode("minimisers").alias("minimiser"))
-    shared = cut(single.groupBy("minimiser").agg(F.min("walk").alias("low"), F.max("walk").alias("high")).where("low < high").select("minimiser"))
-    release(spark)
+    shared = _stored(single.groupBy("minimiser").agg(F.min("walk").alias("low"), F.max("walk").alias("high")).where("low < high").select("minimiser"), f"{folder}/shared")
     firsts = profiles.groupBy("print").agg(F.min(F.struct("id", "hash", "n")).alias("f")).select("print", "f.*")
     held = profiles.select("id", "hash", F.explode("minimisers").alias("minimiser")).join(shared, "minimiser").groupBy("id", "hash").agg(F.collect_set("minimiser").alias("shared"))
-    walks = cut(global_index(firsts.join(held, ["id", "hash"]), "id", "hash", name="ref"))
-    release(spark)
+    candidates = _stored(firsts.join(held, ["id", "hash"]), f"{folder}/candidates")
+    walks = _stored(global_index(candidates, "id", "hash", name="ref"), f"{folder}/walks")
     longest, count = walks.agg(F.max("n"), F.count("*")).first()
     shift = int(longest or 1).bit_length()
     if shift + int(count).bit_length() > 62:
         raise ValueError("coordinates of more than 62 bits")
-    texts = rows.join(walks.select("id", "hash", "ref", "shared"), ["id", "hash"]).dropDuplicates(["ref"])
-    _edges(texts, k, gram, shift).write.parquet(f"{folder}/edges")
-    edges = spark.read.parquet(f"{folder}/edges")
-    release(spark)
-    ends = cut(paths(edges.withColumn("doc", F.shiftright("at", shift))))
-    release(spark)
+    texts = rows.join(walks.select("id", "hash", "ref", "shared"), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    edges = _stored(_edges(texts, k, gram, shift), f"{folder}/edges")
+    ends = _stored(paths(edges.withColumn("doc", F.shiftright("at", shift)), folder), f"{folder}/ends")
     low = walks.groupBy("id").agg(F.min("ref").alias("low"))  # of the rows of one id none is earlier
     names = walks.select("ref", "id", "print").join(low, "id")
     place = lambda c: F.col(c).bitwiseAND(F.lit((1 << shift) - 1))
-    found = spans(edges, ends, k).withColumns({"ref": F.shiftright("at", shift), "source": F.shiftright("path", shift)})
+    found = spans(edges, ends, k, folder).withColumns({"ref": F.shiftright("at", shift), "source": F.shiftright("path", shift)})
     found = found.join(names, "ref").where("source < low")
     found = found.join(names.select(F.col("ref").alias("source"), F.col("id").alias("source_id")), "source")
     one = F.struct(place("at").alias("start"), "length", F.when(F.col("source_id") != NO_ID, F.col("source_id")).alias("source_id"), place("path").alias("source_start"))
@@ -184,9 +198,7 @@ def repeated(docs: DataFrame, k: int = WORDS, gram: int = GRAM, id_col: str = "d
     per_row = profiles.select("id", "hash", "n", "print").distinct().join(firsts.select("print", F.col("id").alias("first")), "print").join(own, "print", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), F.col("first").alias("source_id"), F.lit(0).cast("long").alias("source_start")))
     out = per_row.withColumn("spans", F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("own"))).where("spans is not null")
-    out = cut(out.select("id", "hash", "spans"))
-    release(spark)
-    return out
+    return _stored(out.select("id", "hash", "spans"), f"{folder}/spans")
 
 
 def _kept(text: Column, gone: Column) -> Column:

@@ -140,11 +140,11 @@ def test_paths_are_as_long_as_the_passage(spark):
     assert all(len(r["spans"]) == 1 and r["n_removed"] == 300 and r["spans"][0]["source_id"] == 0 for r in got if r["doc_id"])
 
 
-def test_spans_whose_sums_differ_are_not_taken(spark):
+def test_spans_whose_sums_differ_are_not_taken(spark, tmp_path):
     """A chance equality of hashes doesn't remove words: coordinates and second hashes must agree with the source."""
     edges = [(1, 100, 7), (2, 130, 57), (1, 900, 4), (2, 930, 54), (1, 1900, 4), (2, 1930, 55), (1, 2900, 4), (2, 2931, 54)]
     ends = spark.createDataFrame([(1, 100, 0, 30), (2, 100, 30, 30)], "edge long, path long, offset long, last long")
-    got = op12_spans.spans(spark.createDataFrame(edges, "edge long, at long, sum long"), ends, 13).collect()
+    got = op12_spans.spans(spark.createDataFrame(edges, "edge long, at long, sum long"), ends, 13, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(900, 100, 43)]
 
 
@@ -153,7 +153,7 @@ def test_spans_whose_sums_differ_are_not_taken(spark):
 def test_minimisers_are_the_smallest_of_each_window(ids, k, gram):
     gram = min(gram, k)
     ids = np.array(ids, np.uint64)
-    h = op12_spans.runs(ids, gram, 3)
+    h = op12_spans.runs(ids, gram, 2)
     assert op12_spans.minimisers(ids, k, gram).tolist() == [int(h[s : s + k - gram + 1].min()) for s in range(len(ids) - k + 1)]
 
 

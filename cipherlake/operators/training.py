@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlake.functions import paths as P
 from cipherlake.functions.text import first_match, has_any
+from cipherlake.operators import encoding, splitting
+from cipherlake.session import checkpoint
 
 CATEGORICAL = ["algorithm", "severity", "crypto_type", "language", "rule_id", "file_extension"]
 NUMERIC = ["confidence", "line_number", "file_path_depth", "filename_length", "pattern_complexity"]
@@ -21,7 +23,16 @@ FLAGS = ["is_test_file", "is_crypto_library", "is_low_level", "has_function_call
 LABELS = ["finding_id", "ai_is_valid", "ai_confidence", "ai_severity", "has_ai_evaluation"]
 
 
-def training_features(findings: DataFrame) -> DataFrame:
+def file_extension(path: Column, whole_path: bool = False) -> Column:
+    """What follows the last dot of the base name, ``unknown`` without one; with ``whole_path`` of the whole path, where
+    a file without a dot is its own extension."""
+    if whole_path:
+        return F.element_at(F.split(path, "\\."), -1)
+    name = P.base_name(path)
+    return F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(F.lit(encoding.UNKNOWN))
+
+
+def training_features(findings: DataFrame, extension_of_path: bool = False) -> DataFrame:
     """The 29 features of a finding, plus its id and any label columns."""
     path, low = F.col("path"), F.lower("path")
     pattern = F.coalesce(F.col("pattern"), F.lit("")) if "pattern" in findings.columns else F.lit("")
@@ -29,7 +40,7 @@ def training_features(findings: DataFrame) -> DataFrame:
     cols = {
         "algorithm": alg, "severity": sev, "confidence": F.col("confidence"), "crypto_type": typ, "language": lang,
         "rule_id": F.col("rule_id"), "line_number": F.col("line"),
-        "file_extension": F.element_at(F.split(path, "\\."), -1), "file_path_depth": P.depth(path),
+        "file_extension": file_extension(path, extension_of_path), "file_path_depth": P.depth(path),
         "filename_length": F.length(P.base_name(path)),
         "is_test_file": low.contains("test"), "is_crypto_library": has_any(low, ["crypto", "ssl", "tls", "hash"]),
         "is_low_level": path.rlike(r"\.(?:c|cpp|h|hpp)$"), "pattern_complexity": F.length(pattern),
@@ -47,42 +58,30 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in LABELS]
 
 
-def encoder_stages() -> list:
-    """Alphabetical label codes, all columns counted in one pass; unseen labels get the last index
-    and are mapped to 0 afterwards."""
-    return [StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_code" for c in CATEGORICAL], stringOrderType="alphabetAsc",
-                          handleInvalid="keep")]
-
-
 def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=[f"{c}_code" for c in CATEGORICAL] + NUMERIC + FLAGS, outputCol="features", handleInvalid="keep")
 
 
-def fit_encoder(df: DataFrame) -> PipelineModel:
-    return Pipeline(stages=encoder_stages()).fit(_clean(df))
+def fit_encoder(df: DataFrame) -> DataFrame:
+    """The label table of the six categorical features."""
+    return encoding.fit_labels(df, CATEGORICAL)
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    out = df
-    for c in CATEGORICAL:
-        out = out.withColumn(c, F.coalesce(c, F.lit("unknown")))
-    return out.select("*").withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC + FLAGS})
+    return df.withColumns({c: F.coalesce(c, F.lit(encoding.UNKNOWN)) for c in CATEGORICAL}
+                          | {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC + FLAGS})
 
 
-def encode(df: DataFrame, encoder: PipelineModel) -> DataFrame:
-    """Apply the encoder; a label unseen in training becomes 0."""
-    out = encoder.transform(_clean(df))
-    for c, labels in zip(encoder.stages[0].getOutputCols(), encoder.stages[0].labelsArray):
-        n = float(len(labels))
-        out = out.withColumn(c, F.when(F.col(c) >= n, F.lit(0.0)).otherwise(F.col(c)))
-    return _assembler().transform(out)
+def encode(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Codes of the categorical features by the label table (an unseen label is 0), missing numbers as 0, and the
+    feature vector."""
+    return _assembler().transform(encoding.encode_labels(_clean(df), labels, CATEGORICAL))
 
 
-def split(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Deterministic split by a hash of the finding id: the same rows after any retry, and each
-    label keeps its share in both parts."""
-    u = F.pmod(F.xxhash64(F.col("finding_id"), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return df.filter(u >= test_share), df.filter(u < test_share)
+def split(df: DataFrame, label: str = "label", test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; of each label the test part has its share, rounded to whole rows."""
+    marked = splitting.stratified(df, label, "finding_id", test_share, seed, "_is_test")
+    return tuple(marked.filter(c).drop("_is_test") for c in (~F.col("_is_test"), F.col("_is_test")))
 
 
 def confidence_band(c: Column) -> Column:
@@ -91,6 +90,7 @@ def confidence_band(c: Column) -> Column:
 
 
 def _fit(name: str, df: DataFrame, estimator, evaluator, folds: int, seed: int = 42) -> dict:
+    df = checkpoint(df)  # the fits read it many times
     train, test = split(df, seed=seed)
     model = estimator.fit(train)
     pred = model.transform(test)
@@ -110,10 +110,11 @@ def train_validity_model(encoded: DataFrame, folds: int = 5) -> dict:
 
 def _forest(encoded: DataFrame, target: Column, name: str, trees: int, folds: int) -> dict:
     df = encoded.filter("has_ai_evaluation").withColumn("target", target).filter(F.col("target").isNotNull())
-    indexer = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(df)
+    classes = encoding.fit_labels(df, ["target"])
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    out = _fit(name, indexer.transform(df), RandomForestClassifier(numTrees=trees, seed=42), ev, folds)
-    return {**out, "labels": indexer.labels}
+    coded = encoding.encode_labels(df, classes, ["target"]).withColumnRenamed("target_code", "label")
+    out = _fit(name, coded, RandomForestClassifier(numTrees=trees, seed=42), ev, folds)
+    return {**out, "labels": [r["label"] for r in classes.orderBy("code").collect()]}  # the classes of a forest: a handful
 
 
 def train_confidence_model(encoded: DataFrame, trees: int = 100, folds: int = 5) -> dict:
@@ -168,12 +169,12 @@ def predict(encoded: DataFrame, validity, confidence: dict | None = None, severi
     return out
 
 
-def save(encoder: PipelineModel, results: list[dict], report: DataFrame, target: str) -> None:
-    encoder.write().overwrite().save(f"{target}/encoder")
+def save(encoder: DataFrame, results: list[dict], report: DataFrame, target: str) -> None:
+    encoder.write.mode("overwrite").parquet(f"{target}/encoder")
     for r in results:
         PipelineModel([r["model"]]).write().overwrite().save(f"{target}/{r['name']}")
     report.write.mode("overwrite").parquet(f"{target}/report")
 
 
-def load(target: str, names: list[str]) -> tuple[PipelineModel, dict[str, PipelineModel]]:
-    return PipelineModel.load(f"{target}/encoder"), {n: PipelineModel.load(f"{target}/{n}") for n in names}
+def load(spark: SparkSession, target: str, names: list[str]) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    return spark.read.parquet(f"{target}/encoder"), {n: PipelineModel.load(f"{target}/{n}") for n in names}

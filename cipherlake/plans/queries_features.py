@@ -19,7 +19,7 @@ from cipherlake.plans import jobs as J
 from cipherlake.plans import queries as Q
 from cipherlake.plans.checks import language
 from cipherlake.plans.queries import as_of, files, l0, n64, query, r6, read, risk
-from cipherlake.plans.queries_findings import evaluations, lay_files, stored_l0
+from cipherlake.plans.queries_findings import evaluations, labelled, lay_files, stored_l0
 from cipherlake.session import checkpoint, scratch
 from cipherlake.sources import corpus as C
 from cipherlake.streaming import stream as ST
@@ -264,25 +264,112 @@ def _(s, d):
                     r6(EM.with_fallback(F.lit(0.0), t), "fallback"))
 
 
+def _small_net():
+    """A fixed network of two hidden units, as a function of a matrix."""
+    import numpy as np
+
+    w, b, v, c = np.array([[1.5, -0.5], [0.02, 0.25], [0.01, -0.03]]), np.array([0.1, -0.2]), np.array([0.8, -1.1]), 0.05
+    return lambda rows: 1 / (1 + np.exp(-(np.maximum(rows @ w + b, 0) @ v + c)))
+
+
+def registered_models():
+    from cipherlake.operators import models as MD
+    names = ["confidence", "severity_weight", "line"]
+    return (MD.Registry().add("net", MD.batch_model("network", names, _small_net)).add("tree", MD.column_model("decision_tree", names, lambda x: EM.tree_score(TREE, x, 3)))
+            .add("linear", MD.column_model("linear_regression", names, lambda x: EM.linear_score([0.5, -0.2, 0.01], 0.1, x)))
+            .add("sure", MD.batch_model("constant", names, lambda: lambda rows: rows[:, 0] * 0 + 1)))
+
+
+@query("x4_registered_models", """SELECT finding_id, round(net, 6) AS score_net, round(tree, 6) AS score_tree, round(linear, 6) AS score_linear, 1e0 AS score_sure, round(CASE WHEN net > 0 AND net < 1 THEN net ELSE tree END, 6) AS score, round(tree, 6) AS second
+ FROM (SELECT finding_id, 1e0 / (1e0 + exp(-(0.8e0 * greatest(a * 1.5e0 + b * 0.02e0 + c * 0.01e0 + 0.1e0, 0e0) - 1.1e0 * greatest(a * -0.5e0 + b * 0.25e0 + c * -0.03e0 - 0.2e0, 0e0) + 0.05e0))) AS net,
+ 1e0 / (1e0 + exp(-(0.1e0 + a * 0.5e0 + b * -0.2e0 + c * 0.01e0))) AS linear, CASE WHEN a <= 0.5e0 THEN CASE WHEN c <= 10 THEN 0.2e0 ELSE 0.4e0 END WHEN b <= 7 THEN 0.6e0 ELSE 0.5e0 END AS tree
+ FROM (SELECT finding_id, confidence AS a, """ + K.table(V.FEATURE_SEVERITY, "severity", 1.0) + """ AS b, CAST(line AS DOUBLE) AS c FROM l0))""")
+def _(s, d):
+    """A numpy model and compiled ones by name; the model that is always sure falls through to the next."""
+    from cipherlake.functions.severity import feature_value
+    f = l0(s, d).withColumn("severity_weight", feature_value(F.col("severity")))
+    models = registered_models()
+    out = models.score(models.score(f, ["net", "tree", "linear", "sure"]), ["sure", "tree"], prefix="again")
+    return out.select("finding_id", *[r6(f"score_{n}") for n in ("net", "tree", "linear", "sure")], r6("score"), r6("again", "second"))
+
+
 # --- models ----------------------------------------------------------------------------------
 
-_J1 = {"line_number": "CAST(line AS BIGINT)", "file_extension": "regexp_extract(path, '([^.]*)$', 1)", "file_path_depth": "CAST(len(string_split(path, '/')) AS BIGINT)",
+_J1 = {"algorithm": "algorithm", "severity": "severity", "confidence": "round(confidence, 6)", "crypto_type": "crypto_type", "language": "language", "rule_id": "rule_id",
+       "line_number": "CAST(line AS BIGINT)", "file_extension": f"CASE WHEN contains({K.BASE}, '.') THEN regexp_extract({K.BASE}, '([^.]*)$', 1) ELSE 'unknown' END", "file_path_depth": "CAST(len(string_split(path, '/')) AS BIGINT)",
        "filename_length": f"CAST(length({K.BASE}) AS BIGINT)", "is_test_file": "contains(lower(path), 'test')", "is_crypto_library": K.has("lower(path)", ["crypto", "ssl", "tls", "hash"]),
-       "is_low_level": r"regexp_matches(path, '\.(?:c|cpp|h|hpp)$')", "is_hash_algorithm": "crypto_type = 'hash'", "is_high": "severity = 'high'",
+       "is_low_level": r"regexp_matches(path, '\.(?:c|cpp|h|hpp)$')", "pattern_complexity": "CAST(length(match_text) AS BIGINT)", "has_function_call": "contains(match_text, '(')",
+       "has_import_statement": "contains(lower(match_text), 'import')", **{f"is_{t}_{'crypto' if t != 'hash' else 'algorithm'}": f"crypto_type = '{t}'" for t in ("hash", "symmetric", "asymmetric")},
+       "is_legacy_algorithm": "algorithm IN ('md5', 'sha1', 'des', 'rc4')", "is_modern_algorithm": "algorithm IN ('sha256', 'sha512', 'aes', 'chacha20')",
+       **{f"is_{v}": f"severity = '{v}'" for v in ("critical", "high", "medium", "low", "info")},
        "is_c_cpp": "language IN ('c', 'cpp', 'c++')", "is_high_level_lang": "language IN ('python', 'java', 'javascript', 'go')", "is_systems_lang": "language IN ('c', 'cpp', 'rust', 'go')"}
+_COUNTS = ("line_number", "file_path_depth", "filename_length", "pattern_complexity")
+K.CTE["j1_features"] = f"SELECT finding_id, {', '.join(f'{e} AS {n}' for n, e in _J1.items())} FROM l0"
+
+
+def training_features(s, d, findings=None):
+    """Features with the matched text as the pattern, which findings of the first stage don't carry."""
+    return TR.training_features((l0(s, d) if findings is None else findings).withColumn("pattern", F.col("match_text")))
+
+
+@query("j1_j15_training_features", "SELECT * FROM j1_features")
+def _(s, d):
+    f = training_features(s, d)
+    assert sorted(TR.feature_columns(f)) == sorted(_J1)
+    return f.select("finding_id", *[n64(c) if c in _COUNTS else r6(c) if c == "confidence" else F.col(c) for c in _J1])
+
+
+K.CTE["j2_labels"] = "\nUNION ALL ".join(f"SELECT '{c}' AS col, label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code, CAST(n AS BIGINT) AS n FROM (SELECT {c} AS label, count(*) AS n FROM j1_features GROUP BY 1)" for c in TR.CATEGORICAL)
 
 
-@query("j1_j15_training_features", f"SELECT finding_id, {', '.join(f'{e} AS {n}' for n, e in _J1.items())} FROM l0")
+@query("j2_label_table", 'SELECT col AS "column", label, code, n FROM j2_labels')
 def _(s, d):
-    f = TR.training_features(l0(s, d))
-    assert len(TR.feature_columns(f)) == 29
-    return f.select("finding_id", *[n64(c) if c in ("line_number", "file_path_depth", "filename_length") else F.col(c) for c in _J1])
+    return TR.fit_encoder(training_features(s, d))
+
+
+@query("j2_label_codes", "SELECT finding_id, " + ", ".join(f"CAST((SELECT code FROM j2_labels WHERE col = '{c}' AND label = f.{c}) AS DOUBLE) AS {c}_code" for c in TR.CATEGORICAL) + " FROM j1_features f")
+def _(s, d):
+    f = training_features(s, d)
+    return TR.encode(f, TR.fit_encoder(f)).select("finding_id", *[f"{c}_code" for c in TR.CATEGORICAL])
+
+
+@query("j2_unseen_labels", "SELECT finding_id, " + ", ".join(f"CAST(coalesce((SELECT code FROM (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT {c} AS label FROM j1_features WHERE line_number % 2 = 0)) t WHERE t.label = f.{c}), 0) AS DOUBLE) AS {c}_code" for c in TR.CATEGORICAL) + " FROM j1_features f")
+def _(s, d):
+    """Codes from half of the lines, joined without a broadcast; labels outside that half are 0."""
+    from cipherlake.operators import encoding as EC
+    f = checkpoint(training_features(s, d))
+    labels = EC.fit_labels(f.filter("line_number % 2 = 0"), TR.CATEGORICAL)
+    return EC.encode_labels(f, labels, TR.CATEGORICAL, broadcast_rows=-1).select("finding_id", *[f"{c}_code" for c in TR.CATEGORICAL])
+
+
+K.CTE["j3_split"] = """SELECT finding_id, severity, row_number() OVER (PARTITION BY severity ORDER BY md5(finding_id || ':42'), finding_id) <= floor(count(*) OVER (PARTITION BY severity) * 0.2e0 + 0.5e0) AS is_test
+ FROM labelled WHERE has_ai_evaluation"""
+
+
+@query("j3_stratified_split", "SELECT finding_id, severity, is_test FROM j3_split")
+def _(s, d):
+    from cipherlake.operators import splitting as SP
+    return SP.stratified(labelled(s, d).filter("has_ai_evaluation"), "severity", "finding_id").select("finding_id", "severity", "is_test")
+
+
+@query("j3_split_shares", "SELECT severity, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS n_test, abs(count(*) FILTER (WHERE is_test) - count(*) * 0.2e0) < 1 AS within_one FROM j3_split GROUP BY severity")
+def _(s, d):
+    from cipherlake.operators import splitting as SP
+    rows = SP.stratified(labelled(s, d).filter("has_ai_evaluation"), "severity", "finding_id").groupBy("severity").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+    return rows.withColumn("within_one", F.abs(F.col("n_test") - F.col("n") * 0.2) < 1)
+
+
+_P, _R, _N = "coalesce(tp / nullif(predicted, 0), 0)", "coalesce(tp / nullif(support, 0), 0)", "coalesce(2 * p * r / nullif(p + r, 0), 0)"
 
 
-@query("j2_label_codes", "SELECT finding_id, CAST((SELECT count(DISTINCT algorithm) FROM l0 b WHERE b.algorithm < l.algorithm) AS DOUBLE) AS algorithm_code FROM l0 l")
+@query("j6_class_metrics", f"""SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round({_N}, 6) AS f1, support FROM (SELECT *, {_P} AS p, {_R} AS r FROM (
+ SELECT label, CAST(sum(t) AS BIGINT) AS support, sum(g) AS predicted, sum(h) AS tp FROM (
+  SELECT severity AS label, 1 AS t, 0 AS g, CAST(severity = severity_class AS INT) AS h FROM predictions UNION ALL SELECT severity_class, 0, 1, 0 FROM predictions) GROUP BY label))""")
 def _(s, d):
-    f = TR.training_features(l0(s, d))
-    return TR.encode(f, TR.fit_encoder(f)).select("finding_id", "algorithm_code")
+    """Of the embedded severity scorer against the rules' severities."""
+    pairs = predictions(s, d).select(F.col("severity").alias("label"), F.col("ml_predicted_severity").alias("prediction"))
+    m = TR.class_metrics(TR.confusion(pairs))
+    return m.select("label", r6("precision"), r6("recall"), r6("f1"), n64("support"))
 
 
 @query("j14_labelled_coverage", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE has_ai_evaluation) AS BIGINT) AS evaluated, round(count(*) FILTER (WHERE has_ai_evaluation) / count(*), 6) AS coverage FROM labelled")
@@ -293,7 +380,7 @@ def _(s, d):
 
 def _encoded(s, d):
     seq = checkpoint(EV.with_sequence(stored_l0(s, d)))
-    f = TR.training_features(EV.join_evaluations(seq, evaluations(seq)))
+    f = training_features(s, d, EV.join_evaluations(seq, evaluations(seq)))
     return checkpoint(TR.encode(f, TR.fit_encoder(f.filter("has_ai_evaluation"))))
 
 

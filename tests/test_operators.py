@@ -67,7 +67,7 @@ def test_top_k_is_sorted_and_a_subset(found):
 
 def test_global_index_equals_a_plain_sort(spark, found):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"))
-    rows = global_index(df, "g", "k", buckets=16).orderBy("seq").collect()
+    rows = global_index(df, "g", "k").orderBy("seq").collect()
     assert [r["seq"] for r in rows] == list(range(5000))
     assert [(r["g"], r["k"]) for r in rows] == sorted((r["g"], r["k"]) for r in rows)
 
@@ -165,7 +165,7 @@ def test_training_run_saves_and_reloads(spark, found, tmp_path):
     ev = seq.select(F.col("finding_id"), (F.col("severity") != "low").alias("is_valid"), (F.col("line") % 10 / 10.0).alias("confidence"), "severity")
     out = J.training_run(seq, ev, str(tmp_path / "m"), trees=3, folds=2)
     assert out["results"][0]["accuracy"] > 0.8
-    enc, models = TR.load(str(tmp_path / "m"), ["validity", "confidence", "severity"])
+    enc, models = TR.load(spark, str(tmp_path / "m"), ["validity", "confidence", "severity"])
     feats = TR.training_features(found.limit(20))
     assert models["validity"].transform(TR.encode(feats, enc)).count() == 20
     m = {r["label"]: r for r in TR.class_metrics(out["results"][2]["confusion"]).collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
 from cipherlake.functions.text import first_match, has_any
+from cipherlake.operators.ordering import exact_medians
+from cipherlake.session import checkpoint
 
 
 def context_features(findings: DataFrame) -> DataFrame:
@@ -20,23 +22,28 @@ def context_features(findings: DataFrame) -> DataFrame:
         "confidence_band": first_match([(F.col("confidence") >= 0.8, "high"), (F.col("confidence") >= 0.5, "medium")], "low")})
 
 
+def _spread(total: Column, mean: Column, squares: Column) -> Column:
+    """Sample standard deviation from weighted sums; 0 for a single value."""
+    return F.when(total > 1, F.sqrt(F.greatest(squares - total * mean * mean, F.lit(0.0)) / (total - 1))).otherwise(F.lit(0.0))
+
+
 def repository_statistics(findings: DataFrame) -> DataFrame:
     """Per repository: totals, bands, contexts and confidence statistics.
 
-    Everything but the median is an ordinary partial aggregate; the exact median aggregates a
-    count per distinct confidence, never the rows of a hot repository."""
+    One pass over the findings counts each repository's distinct confidences; all else, also the exact median, comes from
+    these counts, which are stored once.  A hot repository is aggregated where its rows are."""
     f = context_features(findings)
-    is_ = lambda c, v: F.count_if(F.col(c) == v)
-    return f.groupBy("repo").agg(
-        F.count("*").alias("total_findings"),
-        is_("confidence_band", "high").alias("high_confidence"), is_("confidence_band", "medium").alias("medium_confidence"),
-        is_("confidence_band", "low").alias("low_confidence"), is_("context_type", "test").alias("test_findings"),
-        is_("context_type", "library").alias("library_findings"), is_("context_type", "application").alias("application_findings"),
-        is_("implementation_level", "low_level").alias("low_level_findings"),
-        is_("implementation_level", "high_level").alias("high_level_findings"),
-        F.avg("confidence").alias("mean_confidence"), F.percentile("confidence", 0.5).alias("median_confidence"),
-        F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std_confidence"),
-        F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
+    kinds = {**{f"{v}_confidence": ("confidence_band", v) for v in ("high", "medium", "low")}, **{f"{v}_findings": ("context_type", v) for v in ("test", "library", "application")},
+             **{f"{v}_findings": ("implementation_level", v) for v in ("low_level", "high_level")}}
+    counted = checkpoint(f.groupBy("repo", "confidence").agg(F.count("*").alias("n"), *[F.count_if(F.col(c) == v).alias(name) for name, (c, v) in kinds.items()]))
+    c, n = F.col("confidence"), F.when(F.col("confidence").isNotNull(), F.col("n"))
+    sums = counted.groupBy("repo").agg(F.sum("n").alias("total_findings"), *[F.sum(k).alias(k) for k in kinds], F.sum(n).alias("_n"), F.sum(c * n).alias("_sum"), F.sum(c * c * n).alias("_squares"),
+                                       F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
+    mean = F.col("_sum") / F.nullif("_n", F.lit(0))
+    out = sums.withColumns({"mean_confidence": mean, "std_confidence": F.coalesce(_spread(F.col("_n"), mean, F.col("_squares")), F.lit(0.0))})
+    medians = exact_medians(counted, "repo", "confidence").withColumnRenamed("repo", "_repo")
+    return out.join(medians, out["repo"].eqNullSafe(medians["_repo"]), "left").select(
+        "repo", "total_findings", *kinds, "mean_confidence", F.col("median").alias("median_confidence"), "std_confidence", "min_confidence", "max_confidence")
 
 
 def repository_distributions(findings: DataFrame) -> DataFrame:
@@ -53,15 +60,16 @@ def combined_distributions(per_repo: DataFrame) -> DataFrame:
 
 
 def global_statistics(findings: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Totals, mean per repository, and statistics of confidences above zero."""
-    positive = F.when(F.col("confidence") > 0, F.col("confidence"))
-    one = findings.agg(
-        F.count("*").alias("total_findings"), F.avg(positive).alias("mean_confidence"),
-        F.percentile(positive, 0.5).alias("median_confidence"),
-        F.coalesce(F.stddev_samp(positive), F.lit(0.0)).alias("std_confidence"),
-        F.min(positive).alias("min_confidence"), F.max(positive).alias("max_confidence"))
-    n = repositories.select("repo").distinct().agg(F.count("*").alias("n"))
-    return one.withColumn("total_repositories", n.scalar()).withColumn(
+    """Totals, mean per repository, and statistics of confidences above zero, from one count per distinct confidence."""
+    counted = checkpoint(findings.groupBy("confidence").agg(F.count("*").alias("n")))
+    c, n = F.col("confidence"), F.when(F.col("confidence") > 0, F.col("n"))
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"), F.sum(n).alias("_n"), F.sum(c * n).alias("_sum"), F.sum(c * c * n).alias("_squares"),
+                       F.min(F.when(c > 0, c)).alias("min_confidence"), F.max(F.when(c > 0, c)).alias("max_confidence"))
+    mean = F.col("_sum") / F.nullif("_n", F.lit(0))
+    one = sums.withColumns({"mean_confidence": mean, "std_confidence": F.coalesce(_spread(F.col("_n"), mean, F.col("_squares")), F.lit(0.0))}).drop("_n", "_sum", "_squares")
+    median = exact_medians(counted.where(c > 0).withColumn("all", F.lit(0)), "all", "confidence").select("median")
+    total = repositories.select("repo").distinct().agg(F.count("*").alias("n"))
+    return one.withColumns({"median_confidence": median.scalar(), "total_repositories": total.scalar()}).withColumn(
         "avg_findings_per_repo", F.coalesce(F.col("total_findings") / F.nullif("total_repositories", F.lit(0)), F.lit(0.0)))
 
 

@@ -178,3 +178,32 @@ def test_rules_of_one_id_keep_their_positions(spark):
     assert got == [(2, "foo", "low"), (8, "bar", "high"), (14, "foo", "low")]
     problems = RU.validate_rules(RU.rules_table(spark, [RU.Rule("e", "x*", "low", message="m"), RU.Rule("p", r"\p{Lu}+foo", "low", message="m"), RU.Rule("n", "(?P<n>a)", "low", message="m")])).collect()
     assert {(r["rule_id"], r["problem"]) for r in problems} == {("e", "pattern matches nothing"), ("n", "pattern does not compile")}
+
+
+def test_equal_files_are_scanned_each(spark):
+    """Rows equal in path and content keep positions of their own, in all three scans."""
+    text = "x foo y foo\nmd5(foo) foo é foo"
+    rows = [("p", text)] * 3 + [("p", text + " foo"), ("q", text)]
+    files = spark.createDataFrame([(f"repo/{p}.go", "repo", "go", t) for p, t in rows], "path string, repo string, language string, content string").repartition(4)
+    rules = [RU.Rule("foo", "foo", "high", message="m"), RU.Rule("bar", "fo+", "low", message="n")]
+    want = sorted((f"repo/{p}.go", r, t[: m.start()].count("\n") + 1, m.start(), t[max(0, m.start() - 50) : m.end() + 50]) for p, t in rows for r in ("foo", "bar") for m in re.finditer("foo", t))
+    assert sorted(tuple(r) for r in S.rule_scan(files, rules).select("path", "rule_id", "line", "pos", "context").collect()) == want
+    table = RU.rules_table(spark, rules)
+    assert sorted(tuple(r) for r in S.rule_scan_table(files, table).select("path", "rule_id", "line", "pos", "context").collect()) == want
+    first = [w[:3] for w in want]
+    found = S.l0_scan(files, rules, min_confidence=0.0).select("path", "rule_id", "line").collect()
+    assert sorted(tuple(r) for r in found) == sorted((p, r, n) for p, r, n in {w: 1 for w in first} for _ in range(rows.count((p[5:-3], text)) if p == "repo/q.go" else 4))
+
+
+@pytest.mark.parametrize("pattern", ["x*", r"\b", "^", "(?:foo)?", "a|"])
+def test_patterns_that_match_nothing_are_refused(spark, pattern):
+    files, rules = as_files(spark, [("a.go", "go", "abxcd")]), [RU.Rule("fine", "abx", "low"), RU.Rule("empty", pattern, "low")]
+    with pytest.raises(ValueError, match="empty"):
+        S.rule_scan(files, rules)
+    with pytest.raises(Exception, match="empty"):
+        S.rule_scan_table(files, RU.rules_table(spark, rules)).collect()
+
+
+def test_an_empty_match_in_the_text_is_an_error(spark):
+    with pytest.raises(Exception, match="without characters"):
+        S.rule_scan(as_files(spark, [("a.go", "go", "zz foo")]), [RU.Rule("ahead", "(?=foo)", "low")]).collect()

@@ -1,33 +1,47 @@
-"""SQL surface: a table function that scans one text, and the SQL risk function."""
+"""SQL surface: a table function that scans a text, and the SQL risk function.
+
+``scan_text`` is a SQL function: its body is one expression over the built-in functions with the rules as literals, so a
+query that uses it has no Python in its plan and is optimised like any other.  The scan plan is the way to scan a table:
+it finds positions in linear time, this one in the square of a text's matches."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
+from cipherlake.functions.text import java_pattern
 from cipherlake.operators import risk
-from cipherlake.operators.rules import l0_rules
+from cipherlake.operators.rules import Rule, l0_rules
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-@udtf(returnType="rule_id string, line int, `column` int, match_text string, severity string")
-class ScanText:
-    """``SELECT * FROM scan_text(content, path, language)`` for ad-hoc use on single texts.
-    The built-in scan plan is the way to scan a table."""
+def _rule_struct(r: Rule) -> str:
+    languages = "array(" + ", ".join(_quoted(x.lower()) for x in r.languages) + ")" if r.languages else "cast(array() as array<string>)"
+    return f"named_struct('rule_id', {_quoted(r.rule_id)}, 'severity', {_quoted(r.severity)}, 'languages', {languages}, 'regex', {_quoted(java_pattern(r.pattern))})"
 
-    def __init__(self):
-        import re
 
-        self.rules = [(r.rule_id, r.severity, [x.lower() for x in r.languages], re.compile(r.pattern, re.ASCII)) for r in l0_rules()]
+def scan_expression(rules: list[Rule]) -> str:
+    """Array of all matches in ``content`` of the rules for ``language``, in the order of rules and positions.
 
-    def eval(self, content: str, path: str, language: str):
-        for rule_id, severity, languages, rx in self.rules:
-            if languages and "*" not in languages and (language or "").lower() not in languages:
-                continue
-            for m in rx.finditer(content or ""):
-                head = content[:m.start()]
-                yield rule_id, head.count("\n") + 1, len(head.rsplit("\n", 1)[-1].encode()) + 1, m.group(0), severity
+    A match's place follows from the text before it: the pieces between matches and the matches themselves."""
+    listed = "array(" + ", ".join(map(_rule_struct, rules)) + ")"
+    applies = "size(r.languages) = 0 or array_contains(r.languages, '*') or array_contains(r.languages, lower(language))"
+    hit = f"filter({listed}, r -> ({applies}) and rlike(content, r.regex))"
+    cut = f"transform({hit}, r -> named_struct('r', r, 'pieces', split(content, r.regex, -1), 'matches', regexp_extract_all(content, r.regex, 0)))"
+    before = "array_join(zip_with(slice(h.pieces, 1, i + 1), slice(h.matches, 1, i), (p, q) -> concat(p, coalesce(q, ''))), '')"
+    found = f"transform(h.matches, (m, i) -> named_struct('text', m, 'head', {before}))"
+    row = ("named_struct('rule_id', h.r.rule_id, 'line', size(split(f.head, '\\n', -1)), 'column', octet_length(substring_index(f.head, '\\n', -1)) + 1,"
+           " 'pos', length(f.head), 'match_text', f.text, 'severity', h.r.severity)")
+    return f"flatten(transform({cut}, h -> transform({found}, f -> {row})))"
 
 
-def register(spark: SparkSession) -> None:
-    spark.udtf.register("scan_text", ScanText)
+def register(spark: SparkSession, rules: list[Rule] | None = None) -> None:
+    """``SELECT ... FROM texts t, LATERAL scan_text(t.content, t.path, t.language)``: one row per match, with the positions
+    of the first stage before its floor and its one-match-a-line rule."""
+    body = scan_expression(l0_rules() if rules is None else rules)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION scan_text(content STRING, path STRING, language STRING)"
+              " RETURNS TABLE (rule_id STRING, line INT, `column` INT, pos INT, match_text STRING, severity STRING)"
+              f" RETURN SELECT m.rule_id, m.line, m.column, m.pos, m.match_text, m.severity FROM (SELECT explode({body}) AS m)")
     risk.register_sql_functions(spark)

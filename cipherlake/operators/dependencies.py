@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherlake.functions.text import dimension
@@ -13,40 +13,43 @@ AUDIT_DDL = "vulnerabilities map<string,struct<severity:string,title:string,cves
 LINE_DDL = "type string, vuln struct<id:string,details:string>"
 
 
-def parse_audit(reports: DataFrame, keys: list[str], body: str = "report") -> DataFrame:
-    """Audit report: a JSON map from package to vulnerability, one row per package."""
-    parsed = F.from_json(F.col(body), AUDIT_DDL)["vulnerabilities"]
-    rows = reports.select(*keys, F.explode(parsed).alias("package", "v"))
-    return rows.select(*keys, F.concat(F.lit("npm-"), "package").alias("vuln_id"), "package",
-                       F.col("v.title").alias("title"), F.col("v.severity").alias("severity"),
-                       F.coalesce("v.cves", F.array().cast("array<string>")).alias("cves"))
+VULNERABILITY = "array<struct<vuln_id:string,package:string,title:string,severity:string,cves:array<string>>>"
 
 
-def parse_line_report(reports: DataFrame, keys: list[str], body: str = "report") -> DataFrame:
+def _no_cves() -> Column:
+    return F.array().cast("array<string>")
+
+
+def parse_audit(body: Column) -> Column:
+    """Audit report: a JSON map from package to vulnerability, one entry per package."""
+    entries = F.map_entries(F.from_json(body, AUDIT_DDL)["vulnerabilities"])
+    return F.transform(entries, lambda e: F.struct(
+        F.concat(F.lit("npm-"), e["key"]).alias("vuln_id"), e["key"].alias("package"), e["value"]["title"].alias("title"),
+        e["value"]["severity"].alias("severity"), F.coalesce(e["value"]["cves"], _no_cves()).alias("cves")))
+
+
+def parse_line_report(body: Column) -> Column:
     """Line-delimited JSON; only entries of type ``vuln`` count, unreadable lines are skipped."""
-    rows = reports.select(*keys, F.explode(F.split(body, "\n")).alias("text")).filter(F.trim("text") != "")
-    entry = rows.select(*keys, F.from_json("text", LINE_DDL, {"mode": "PERMISSIVE"}).alias("e"))
-    return (entry.filter(F.col("e.type") == "vuln")
-            .select(*keys, F.col("e.vuln.id").alias("vuln_id"), F.lit("").alias("package"),
-                    F.col("e.vuln.details").alias("title"), F.lit("unknown").alias("severity"),
-                    F.array().cast("array<string>").alias("cves")))
+    entries = F.transform(F.split(body, "\n"), lambda t: F.from_json(t, LINE_DDL, {"mode": "PERMISSIVE"}))
+    return F.transform(F.filter(entries, lambda e: e["type"] == "vuln"), lambda e: F.struct(
+        e["vuln"]["id"].alias("vuln_id"), F.lit("").alias("package"), e["vuln"]["details"].alias("title"), F.lit("unknown").alias("severity"), _no_cves().alias("cves")))
 
 
-# format -> parser(reports, keys, body)
-PARSERS: dict[str, Callable[..., DataFrame]] = {"audit": parse_audit, "lines": parse_line_report}
+# format -> parser of a report's text into an array of VULNERABILITY
+PARSERS: dict[str, Callable[[Column], Column]] = {"audit": parse_audit, "lines": parse_line_report}
 
 
-def register_parser(name: str, parser: Callable[..., DataFrame]) -> None:
+def register_parser(name: str, parser: Callable[[Column], Column]) -> None:
     PARSERS[name] = parser
 
 
-def ingest(reports: DataFrame, keys: list[str], format_col: str = "format", body: str = "report") -> DataFrame:
-    """All registered formats, one branch per format."""
-    out = None
-    for name, parser in sorted(PARSERS.items()):
-        part = parser(reports.filter(F.col(format_col) == name), keys, body)
-        out = part if out is None else out.unionByName(part)
-    return out
+def ingest(reports: DataFrame, keys: list[str], format_col: str = "format", body: str = "report", parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Vulnerabilities of reports in all registered formats, in one pass: a report is read once, parsed by its format in
+    the row, and only its entries go on.  Reports of other formats and null reports have none."""
+    parsed = F.lit(None).cast(VULNERABILITY)
+    for name, parser in sorted((PARSERS if parsers is None else parsers).items()):
+        parsed = F.when(F.col(format_col) == name, parser(F.col(body)).cast(VULNERABILITY)).otherwise(parsed)
+    return reports.select(*keys, F.inline(parsed))
 
 
 def match_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -58,11 +61,15 @@ def match_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFram
 
 
 def scan_project(reports: DataFrame, ecosystems: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings of the reports whose ecosystem the repository has; other reports are skipped."""
-    wide = ecosystems.select("repo", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("ecosystem"), F.col(c).alias("present")) for c in ecosystems.columns if c != "repo"])))
-    usable = reports.join(wide.filter("present").select("repo", "ecosystem"), ["repo", "ecosystem"], "left_semi")
-    return ingest(usable, keys)
+    """Findings of the reports whose ecosystem the repository has; other reports are skipped.
+
+    Reports are parsed where they are read; their entries meet the ecosystems as short rows, against one row per
+    repository and ecosystem, so that a hot repository's entries can be split."""
+    names = [c for c in ecosystems.columns if c != "repo"]
+    wide = ecosystems.select("repo", F.inline(F.array(*[F.struct(F.lit(c).alias("ecosystem"), F.col(c).alias("present")) for c in names])))
+    own = list(dict.fromkeys([*keys, "repo", "ecosystem"]))
+    found = ingest(reports.filter(F.col("ecosystem").isin(names)), own)
+    return found.join(wide.filter("present").select("repo", "ecosystem"), ["repo", "ecosystem"], "left_semi").drop(*[c for c in ("repo", "ecosystem") if c not in keys])
 
 
 def vulnerability_summary(findings: DataFrame, vulnerabilities: DataFrame) -> DataFrame:

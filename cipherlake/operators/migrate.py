@@ -67,7 +67,7 @@ VARIABLES = {"File": "path", "Language": "patch_language", "Algorithm": "algorit
 def render_patches(findings: DataFrame, templates: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
     """One patch text per finding that has a template."""
     df = choose_template(with_alternative(findings), templates)
-    df = df.join(F.broadcast(templates.withColumnRenamed("name", "template_name")), "template_name")
+    df = df.join(templates.withColumnRenamed("name", "template_name"), "template_name")
     text = F.col("template")
     for name, col in VARIABLES.items():
         text = F.replace(text, F.lit("{{." + name + "}}"), F.col(col).cast("string"))

@@ -52,7 +52,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame, variant: str = "cli") -> DataFrame:
     """Result rows with rule index, level and fingerprint."""
     rules = sarif_rules(findings).select("rule_id", "rule_index")
-    return findings.join(F.broadcast(rules), "rule_id").select(
+    return findings.join(rules, "rule_id").select(
         "rule_id", "rule_index", "message", sarif_level(F.col("severity"), variant).alias("level"),
         F.col("path").alias("uri"), F.col("line").alias("start_line"), F.col("col").alias("start_column"),
         "algorithm", "crypto_type", "confidence", "suggestion",

@@ -106,12 +106,15 @@ def combine_rules(*tables: DataFrame) -> DataFrame:
     return out
 
 
+RULES_IN_PLAN = 1_000
+
+
 def rules_from_table(table: DataFrame) -> list[Rule]:
-    """Bring a rule table to the driver to build a scan from it.  A rule table is
-    written by hand, so its size is checked instead of assumed."""
+    """Bring a rule table to the driver to build a scan from it.  A rule table is written by hand, so its size is
+    checked instead of assumed; ``scan.scan_rules`` takes tables of any size."""
     rows = table.limit(10_001).collect()
     if len(rows) > 10_000:
-        raise ValueError("a rule table of more than 10,000 rows should be joined, not unrolled")
+        raise ValueError("a rule table of more than 10,000 rows isn't unrolled; scan.scan_rules and scan.rule_scan_table take it as a table")
     names = Rule.__dataclass_fields__
     out = []
     for row in rows:
@@ -127,9 +130,9 @@ def select_rules(rules: DataFrame, enabled_ids: DataFrame | None = None,
     """A disabled id always wins; with no enabled list every other rule stays."""
     out = rules
     if disabled_ids is not None:
-        out = out.join(F.broadcast(disabled_ids.select("rule_id").distinct()), "rule_id", "left_anti")
+        out = out.join(disabled_ids.select("rule_id").distinct(), "rule_id", "left_anti")
     if enabled_ids is not None:
-        out = out.join(F.broadcast(enabled_ids.select("rule_id").distinct()), "rule_id", "left_semi")
+        out = out.join(enabled_ids.select("rule_id").distinct(), "rule_id", "left_semi")
     return out
 
 
@@ -180,8 +183,8 @@ def rule_hit_statistics(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def attributes(findings: DataFrame, rules: DataFrame, cols: list[str]) -> DataFrame:
-    """Look rule attributes up by id (broadcast join on the small table)."""
-    return findings.join(F.broadcast(rules.select("rule_id", *cols)), "rule_id", "left")
+    """Look rule attributes up by id (Spark broadcasts the table where it is small)."""
+    return findings.join(rules.select("rule_id", *cols), "rule_id", "left")
 
 
 def language_gap(files_language: DataFrame, rules: DataFrame) -> DataFrame:

@@ -428,12 +428,18 @@ def _(s, d):
     return out.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("n_high"))
 
 
+K_P5 = f"""SELECT finding_id, round({K.clamp('confidence * 0.4e0 + ast * 0.3e0 + emb * 0.2e0 + ctx * 0.1e0', 0.0, 1.0)}, 6) AS enhanced_score, round(crypto_score, 6) AS crypto_score
+ FROM (SELECT finding_id, confidence, crypto_score, {_AST} AS ast, {K.clamp('(confidence + crypto_score / 10e0) / 2e0', 0.0, 1.0)} AS emb, {_CTXB} AS ctx
+ FROM (SELECT l.finding_id, l.path, l.confidence, l.algorithm, t.crypto_words, t.in_crypto_namespace, c.near_crypto_imports, c.has_error_handling, c.has_documentation, k.crypto_score
+ FROM l0 l JOIN text_features t ON l.path = t.path JOIN context_flags c ON l.path = c.path JOIN crypto_scores k ON l.finding_id = k.finding_id))"""
+
+
 @query("p3_combined_scan")
 def _(s, d):
     return J.combined_scan(files(s, d), Q.dependency_reports(s, d), reuse=True)["vulnerability_summary"]
 
 
-@query("p5_enhanced_findings")
+@query("p5_enhanced_findings", K_P5)
 def _(s, d):
     return J.enhanced_findings(l0(s, d), files(s, d)).select("finding_id", r6("enhanced_score"), r6("crypto_score"))
 
@@ -517,7 +523,7 @@ def _(s, d):
     return ST.risk_windows(ev, "ts", "1 day").select("window_start", r6("overall_risk"), "n_findings")
 
 
-@query("t4_stream_risk_windows")
+@query("t4_stream_risk_windows", f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, round({K.OVERALL}, 6) AS overall_risk, CAST(count(*) AS BIGINT) AS n_findings FROM event_findings GROUP BY 1 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(s, d):
     ev = _event_findings(ST.stream_table(s, f"{d}/events.parque[t]", _EV))
     return _drain(ST.risk_windows(ev, "ts", "1 day").select("window_start", r6("overall_risk"), "n_findings"))

@@ -76,7 +76,7 @@ def drop_binary(files: DataFrame) -> DataFrame:
 def latest_objects(files: DataFrame, n: int = 10) -> DataFrame:
     """The newest n objects (top-k, no global sort)."""
     newest = files.select("path", "modified").orderBy(F.desc("modified"), "path").limit(n)
-    return files.join(F.broadcast(newest.select("path")), "path", "left_semi")
+    return files.join(newest.select("path"), "path", "left_semi")
 
 
 def not_yet_scanned(files: DataFrame, done: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def risk_windows(scored: DataFrame, event_time: str, length: str = "1 day", slid
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "overall_risk", "n_findings")
 
 
+def risk_sessions(scored: DataFrame, event_time: str, gap: str = "30 minutes", key: str = "path", delay: str = "1 hour") -> DataFrame:
+    """Overall risk per burst of findings: a session of a key ends when nothing follows for ``gap``.  A late row within the
+    delay joins its session or melts two into one.  Works on batch and streaming input alike."""
+    df = scored.withWatermark(event_time, delay) if scored.isStreaming else scored
+    return df.groupBy(F.session_window(event_time, gap).alias("w"), key).agg(RK.overall_risk_expr().alias("overall_risk"), F.count("*").alias("n_findings")) \
+        .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "overall_risk", "n_findings")
+
+
 def running_totals(evaluations: DataFrame) -> DataFrame:
     """Running counts of an evaluation run, for complete or update mode."""
     return evaluations.groupBy("is_valid").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))

@@ -154,12 +154,21 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "q
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "ids": [i.astype(np.int32).tobytes() for i, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
     ready = rows.select("doc_id", "label", "text", *[scaled(F.col(c)).alias(c) for c in metadata_cols])
-    got = ready.mapInPandas(featurise, "doc_id long, label int, ids binary, x binary").toPandas().sort_values("doc_id")
-    y = got["label"].to_numpy(float)
     share = 0.5 if share is None else share
-    weights = np.where(y == 1, share / max(1e-9, y.mean()), (1 - share) / max(1e-9, 1 - y.mean())) if len(y) else y
-    pairs = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for i, x in zip(got["ids"], got["x"], strict=True)]
-    return train(pairs, y, weights, len(metadata_cols))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"doc_id": [], "label": [], "ids": [], "x": []}), *batches]).sort_values("doc_id")
+        y = got["label"].to_numpy(float)
+        weights = np.where(y == 1, share / max(1e-9, y.mean()), (1 - share) / max(1e-9, 1 - y.mean())) if len(y) else y
+        pairs = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for i, x in zip(got["ids"], got["x"], strict=True)]
+        model = train(pairs, y, weights, len(metadata_cols))
+        yield pd.DataFrame({"bias": [model.bias], "weight": [model.weight.tobytes()], "vector": [model.vector.tobytes()]})
+
+    # the sample is bounded, so one task takes it; the driver gets the model alone
+    made = ready.mapInPandas(featurise, "doc_id long, label int, ids binary, x binary").repartition(1).mapInPandas(learn, "bias double, weight binary, vector binary").collect()
+    if not made:
+        return train([], np.empty(0), np.empty(0), len(metadata_cols))
+    return Model(made[0]["bias"], np.frombuffer(made[0]["weight"], np.float32), np.frombuffer(made[0]["vector"], np.float32).reshape(-1, RANK), len(metadata_cols))
 
 
 def score(model: Model, text: Column, *metadata: Column) -> Column:

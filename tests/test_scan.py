@@ -207,3 +207,37 @@ def test_patterns_that_match_nothing_are_refused(spark, pattern):
 def test_an_empty_match_in_the_text_is_an_error(spark):
     with pytest.raises(Exception, match="without characters"):
         S.rule_scan(as_files(spark, [("a.go", "go", "zz foo")]), [RU.Rule("ahead", "(?=foo)", "low")]).collect()
+
+
+@pytest.mark.parametrize("block", [50, 333])
+def test_blocks_of_pieces_change_nothing(spark, block):
+    """Positions, contexts and the dedupe by line are the same however a file's pieces are cut into blocks."""
+    long_line = "é md5 sha1 (" * 300
+    texts = [long_line, long_line + "\r\n" + "md5\n" * 500 + long_line + "\nrsa.GenerateKey\n  (x, 2048)\n" + "sha1 md5 \n\né " * 200, "md5", "\n" * 90 + "md5;" * 120,
+             "md5" * 400, "x" * 70 + "md5 " * 101 + "\n", "md5 " * (block - 1), "md5\n" * block, "md5 " * (block + 1), ""]
+    files = as_files(spark, [(f"f{i}.go", "go", t) for i, t in enumerate(texts)] + [("f1.go", "go", texts[1])])
+    rules = [r for r in RU.l0_rules() if r.rule_id in ("l0-hash-algorithms", "go-rsa-keygen")]
+    cols = ["path", "rule_id", "pos", "line", "col", "match_text", "context"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert rows(S.l0_candidates(files, rules, block=block)) == rows(S.l0_candidates(files, rules, block=10**9))
+    assert rows(S.l0_scan(files, rules, block=block)) == rows(S.l0_scan(files, rules, block=10**9))
+    assert rows(S.rule_scan(files, rules, block=block)) == rows(S.rule_scan(files, rules, block=10**9))
+    got = {tuple(r)[1:] for r in S.l0_candidates(files, rules, block=block).filter("path = 'repo/f1.go'").select(*cols).collect()}
+    assert got == plain_scan(texts[1], rules, "go")
+
+
+def test_blocks_bound_the_windows(spark):
+    """No window of a file with one very common match holds more than a block, whole lines aside."""
+    text = "md5 sha1\n" * 5_000
+    rules = [RU.Rule("hash", r"md5|sha1", "high", message="m")]
+    found = S.match_positions(S.rule_hits(as_files(spark, [("a.go", "go", text)]), rules, "base"), block=500)
+    sizes = [r["count"] for r in found.groupBy("block").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 500
+    lines = S.match_positions(S.rule_hits(as_files(spark, [("a.go", "go", text)]), rules, "base"), whole_lines=True, block=501)
+    assert lines.groupBy("line").agg(F.countDistinct("block").alias("n")).filter("n > 1").count() == 0
+    assert max(r["count"] for r in lines.groupBy("block").count().collect()) <= 503
+
+
+def test_blocks_need_room_for_contexts(spark):
+    with pytest.raises(ValueError, match="pieces"):
+        S.rule_scan(as_files(spark, [("a.go", "go", "md5")]), block=10)

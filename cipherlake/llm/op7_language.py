@@ -62,6 +62,29 @@ def grams(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def pieces(text: str, size: int = 1_000_000) -> Iterator[str]:
+    """A text cut at spaces or line feeds, which go. No n-gram reaches across one, and either end of a piece counts as
+    one, so the pieces have the n-grams of the whole text. Without a place to cut, a piece grows up to the next."""
+    lo = 0
+    while len(text) - lo > size:
+        at = max(text.rfind(" ", lo, lo + size), text.rfind("\n", lo, lo + size))
+        if at < 0:
+            at = min((x for x in (text.find(" ", lo + size), text.find("\n", lo + size)) if x >= 0), default=len(text))
+        yield text[lo:at]
+        lo = at + 1
+    yield text[lo:]
+
+
+def gram_counts(text: str, size: int = 1_000_000) -> np.ndarray:
+    """How often the n-grams of a text fall into each bucket, computed for `size` characters at a time."""
+    total = np.zeros(1 << BITS, np.int64)
+    for piece in pieces(text, size):
+        codes = characters(piece)
+        for order in ORDERS:
+            total += np.bincount(grams(codes, order)[1], minlength=1 << BITS)
+    return total
+
+
 def fit(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Count n-grams by language over all allowed rows with a language and a text."""
     known = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -71,10 +94,7 @@ def fit(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                for lo in range(0, len(text), 1_000_000):  # an n-gram at the cut of an extremely long text may be missed
-                    codes = characters(text[lo : lo + 1_000_000])
-                    for order in ORDERS:
-                        total += np.bincount(grams(codes, order)[1], minlength=1 << BITS)
+                total += gram_counts(text)
         for lang, total in totals.items():
             at = np.nonzero(total)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})

@@ -121,3 +121,76 @@ def test_language_edges(spark):
         model = op7_language.fit(docs, ~fold(F.col("doc_id"), 5, 0))
         rows = docs.select(op7_language.predict(model, F.col("text")).alias("p")).select("p.*").collect()
         assert len(rows) == docs.count() and all(r["lang_pred"] in (*model.languages, "und") for r in rows)
+
+
+def plain_gram_counts(text):
+    """N-grams of whole texts, one after another: a gram has a letter at either end or borders on a word, and letters inside."""
+    codes = [ord(c) if c.isalpha() else 0 for c in f"\n{text.lower()}\n"]
+    total = {}
+    for order in op7_language.ORDERS:
+        for k in range(len(codes) - order + 1):
+            gram = codes[k : k + order]
+            if all(gram[1:-1]) if order > 2 else any(gram):
+                h = order
+                for c in gram:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                bucket = (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - op7_language.BITS)
+                total[bucket] = total.get(bucket, 0) + 1
+    return total
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30, 1_000_000])
+def test_long_training_texts_lose_no_grams(size):
+    """Texts cut for training have the n-grams of the whole text, wherever the cuts fall."""
+    texts = ["", " ", "a", "one two  three\nfour, five", "ΟΔΟΣ ΣΟΦΟΣ. Σ", "x" * 50, "x" * 50 + " yz " + "w" * 40, "\n\n  \n", "İstanbul straße\tÉté 12a b3"]
+    for text in texts + [" ".join(texts * 3)]:
+        got = op7_language.gram_counts(text, size)
+        assert {int(k): int(got[k]) for k in np.nonzero(got)[0]} == plain_gram_counts(text), (text, size)
+
+
+def plain_mixture(like, count, penalty, rounds):
+    """Shares of one document by plain loops: EM over all languages, then one language after another goes."""
+    k, words = len(like[0]), sum(count)
+
+    def settle(pi):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for row, n in zip(like, count, strict=True):
+                whole = sum(p * x for p, x in zip(pi, row, strict=True))
+                for j in range(k):
+                    new[j] += n * pi[j] * row[j] / whole
+            pi = [x / words for x in new]
+        return pi, sum(n * np.log(sum(p * x for p, x in zip(pi, row, strict=True))) for row, n in zip(like, count, strict=True))
+
+    pi, value = settle([1 / k] * k)
+    pi = [0.0 if p < 1e-4 else p for p in pi]
+    pi = [p / sum(pi) for p in pi]
+    while sum(p > 0 for p in pi) > 1:
+        least = min((j for j in range(k) if pi[j] > 0), key=lambda j: pi[j])
+        trial = [0.0 if j == least else p for j, p in enumerate(pi)]
+        trial, new = settle([p / sum(trial) for p in trial])
+        if new + penalty * np.log1p(words) / 2 < value:
+            break
+        pi, value = trial, new
+    return pi
+
+
+def test_mixtures_equal_a_plain_version():
+    rng = np.random.default_rng(5)
+    like, count, doc = [], [], []
+    for d in range(60):
+        own = rng.choice(4, size=rng.integers(1, 4), replace=False)
+        for _ in range(int(rng.integers(1, 25))):
+            row = rng.uniform(1e-4, 0.3, 4)
+            row[rng.choice(own)] = 1.0
+            like.append(row)
+            count.append(float(rng.integers(1, 6)))
+            doc.append(d)
+    like, count, doc = np.array(like), np.array(count), np.array(doc)
+    got = op7_language.mixtures(like, count, doc, 60)
+    sets = set()
+    for d in range(60):
+        want = plain_mixture(like[doc == d].tolist(), count[doc == d].tolist(), op7_language.PENALTY, op7_language.ROUNDS)
+        assert np.allclose(got[d], want, atol=1e-9), d
+        sets.add(sum(p > 0 for p in want))
+    assert len(sets) > 1

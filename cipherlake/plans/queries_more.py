@@ -158,3 +158,15 @@ def _(s, d):
     rows = s.read.parquet(f"{folder}/evaluations").groupBy("run").agg(F.count("*").alias("n_rows"))
     summary = s.read.json(f"{folder}/summary")
     return rows.join(summary, "run").select("run", "n_rows", "total_findings", "valid_findings", r6("average_confidence"))
+
+
+_LONG = 30  # times that a file is repeated
+K.CTE["long_files"] = f"SELECT repo, path, language, repeat(content || ';' || chr(10), {_LONG}) AS content FROM base_files"
+K.CTE["long_base"] = K.matches("long_files", K.BASE_RULES, "base", f"NOT {K.DOC}")
+
+
+@query("c2_long_files", "SELECT path, rule_id, CAST(pos AS BIGINT) AS pos, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, match_text, context FROM long_base")
+def _(s, d):
+    """Files of many matches, cut into blocks of pieces: every position and context, across block ends too."""
+    f = Q.base_files(s, d).withColumn("content", F.repeat(F.concat("content", F.lit(";\n")), F.lit(_LONG)))
+    return S.rule_scan(f, block=50).select("path", "rule_id", "pos", n64("line"), n64("col"), "match_text", "context")

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_point
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
           " conversations").split()
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
-DEFAULT = ["a10_profile_filter", "a14_findings_json", "a20_parse_responses", "b3_b9_file_kinds", "c1_l0_scan", "c2_rule_scan", "c8_c12_l1_findings", "d4_baseline",
+DEFAULT = ["a10_profile_filter", "a14_findings_json", "a20_parse_responses", "b3_b9_file_kinds", "c1_l0_scan", "c2_long_files", "c2_rule_scan", "c8_c12_l1_findings", "d4_baseline",
            "d15_expectations", "e4_overall_risk", "e19_project_languages", "e33_text_features", "f8_g2_top_per_repository", "g1_hotspots", "k2_classification",
            "k3_context_score", "j8_j10_j17_embedded_scores", "t3_stream_dedupe"]
 NAMES = sorted(ORACLE) if os.environ.get("FULL_QUERIES") else DEFAULT

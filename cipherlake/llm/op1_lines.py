@@ -5,9 +5,13 @@ Documents are sequences of line hashes. A seed is the shortest run of lines that
 pairs by themselves. Each seed pairs every later document with the first document that holds it, so a seed in thousands of
 documents gives as many pairs, not their square. A pair is aligned by patience diff: lines that are unique in both
 documents anchor the alignment, the longest increasing chain of anchors is kept, and the gaps are aligned alike; a gap
-without such lines is anchored at its least frequent common line. Aligned runs with at least `min_words` words are deleted
-from the later document, and so are the seeds that both hold in places that the alignment doesn't bring together: blocks in
-another order, blocks that shared short lines cross, and blocks that come twice.
+without such lines is anchored at runs of two, four, eight lines and so on, the shortest that are unique in both. Aligned
+runs with at least `min_words` words are deleted from the later document; nothing else is.
+
+One alignment can't bring together blocks in another order, blocks that shared short lines cross, or blocks that come twice.
+So only lines in seeds that both documents hold take part, and while any such seed isn't wholly deleted, the rest is
+aligned again. Once that leaves more than half of them, each is aligned by itself with its place in the earlier
+document, so that the number of rounds is logarithmic.
 
 Each line of a run of that size lies in a seed within the run: one that starts or ends at the line or, where the run has
 fewer words on either side, the one that starts the run. So any line in a run of `min_words` words that some earlier document
@@ -88,22 +92,35 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((hi, to))
         if lo >= hi or from_ >= to:
             continue
-        left, right = Counter(a[lo:hi]), Counter(b[from_:to])
-        place = {x: k for k, x in zip(range(hi - 1, lo - 1, -1), a[lo:hi][::-1], strict=True)}
-        unique = [(place[x], k) for k, x in enumerate(b[from_:to], from_) if right[x] == 1 and left.get(x) == 1]
-        if not unique:
-            common = [(left[x] * right[x], k, x) for k, x in enumerate(b[from_:to], from_) if x in left]
-            if not common:
-                continue
-            _, k, x = min(common)
-            unique = [(place[x], k)]
-        chain = _increasing(unique)
+        chain = [(lo + i, from_ + j) for i, j in _increasing(_anchors(a[lo:hi], b[from_:to]))]
         out += chain
-        for (i, j), (p, q) in zip([(lo - 1, from_ - 1), *chain], [*chain, (hi, to)], strict=True):
-            todo.append((i + 1, p, j + 1, q))
+        if chain:
+            for (i, j), (p, q) in zip([(lo - 1, from_ - 1), *chain], [*chain, (hi, to)], strict=True):
+                todo.append((i + 1, p, j + 1, q))
     return sorted(out)
 
 
+def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in a and b, in the order of b, of common lines that are unique in both; without any, of the shortest common
+    runs of 2, 4, 8, ... lines that are. Where no length has any, the occurrences of the least frequent common run of the
+    longest length that has common ones meet in their order."""
+    step, pairs = 1, []
+    while True:
+        left, right = Counter(a), Counter(b)
+        common = [x for x in right if x in left]
+        if not common:
+            return pairs
+        place = {x: k for k, x in enumerate(a)}
+        unique = [(place[x], k) for k, x in enumerate(b) if right[x] == 1 and left.get(x) == 1]
+        if unique:
+            return unique
+        rarest = min(common, key=lambda x: left[x] * right[x])
+        pairs = list(zip([k for k, x in enumerate(a) if x == rarest], [k for k, x in enumerate(b) if x == rarest], strict=False))
+        number: dict[tuple[int, int], int] = {}
+        a, b = ([number.setdefault(x, len(number)) for x in zip(s, s[step:], strict=False)] for s in (a, b))
+        step *= 2
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest chain that increases in the first number; pairs come in the order of the second."""
     ends, tails, before = [], [], []
@@ -122,22 +139,40 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def repeated(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Indices of b in runs with at least min_words words that a has too: aligned ones (next to each other in both), and
-    those that an alignment leaves over, in another order, crossed by other common lines, or twice in b."""
+def _long_runs(pairs: list[tuple[int, int]], words: list[int], min_words: int) -> set[int]:
+    """Indices of b in aligned runs (next to each other in both) with at least min_words words."""
     out, run = set(), []
-    for i, j in [*patience(a, b), (-9, -9)]:
+    for i, j in [*pairs, (-9, -9)]:
         if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
             if sum(words[q] for _, q in run) >= min_words:
                 out.update(q for _, q in run)
             run = []
         run.append((i, j))
+    return out
+
+
+def repeated(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Indices of b in aligned runs with at least min_words words; aligned again and again until no run of that size that
+    a has too is left."""
     size = dict(zip(b, words, strict=True))
-    held = {tuple(a[p:q]) for p, q in shortest_runs([size.get(x, min_words) for x in a], min_words)}  # lines that b lacks match nothing
-    for p, q in shortest_runs(words, min_words):
-        if tuple(b[p:q]) in held:
-            out.update(range(p, q))
-    return sorted(out)
+    places: dict[tuple[int, ...], list[int]] = {}
+    for p, q in shortest_runs([size.get(x, min_words) for x in a], min_words):  # lines that b lacks match nothing
+        places.setdefault(tuple(a[p:q]), []).append(p)
+    left = [(p, q) for p, q in shortest_runs(words, min_words) if tuple(b[p:q]) in places]
+    gone: set[int] = set()
+    while left:
+        in_b = {k for p, q in left for k in range(p, q)}
+        in_a = {k for run in {tuple(b[p:q]) for p, q in left} for p in places[run] for k in range(p, p + len(run))}
+        # lines out of the seeds are told apart, so that they meet nothing
+        pairs = patience([(0, x) if k in in_a else (1, k) for k, x in enumerate(a)], [(0, x) if k in in_b else (2, k) for k, x in enumerate(b)])
+        gone |= _long_runs(pairs, words, min_words)
+        before, left = len(left), [(p, q) for p, q in left if not gone.issuperset(range(p, q))]
+        if 2 * len(left) > before:
+            for p, q in left:
+                at = places[tuple(b[p:q])][0]
+                gone |= {p + k for k in _long_runs(patience(a[at : at + q - p], b[p:q]), words[p:q], min_words)}
+            break
+    return sorted(gone)
 
 
 def find(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:

@@ -9,6 +9,8 @@ A document's seeds of an item name windows of the document, somewhat longer than
 and item word by word; the score is the best local alignment as a share of a perfect one, so that edits, insertions and
 reorderings within it lower the score instead of hiding the copy.
 
+Items of fewer than `n` words are found where their words follow each other, all of them.
+
 Items go to the tasks in blocks of a bounded number of words, each block against all documents; documents are never
 exchanged."""
 
@@ -43,6 +45,7 @@ class Index(NamedTuple):
     owner: np.ndarray  # item of each seed
     place: np.ndarray  # where the seed starts in the item
     n: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # for lengths under n, sorted codes of the items and their numbers
 
 
 def plain(word: str) -> str:
@@ -75,36 +78,46 @@ def codes(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, (out << np.uint64(1)) | np.uint64(1), np.uint64(0))
 
 
+def _next_row(up: np.ndarray, window: np.ndarray, word: int, first: int, steps: np.ndarray, floor: int) -> np.ndarray:
+    """The row below `up` of an alignment's scores; its first cell is given, no cell is under the floor."""
+    h = np.empty_like(up)
+    h[0] = first
+    np.maximum(up[:-1] + np.where(window == word, np.int32(MATCH), np.int32(MISMATCH)), up[1:] + GAP, out=h[1:])
+    np.maximum(h, floor, out=h)
+    h += steps
+    np.maximum.accumulate(h, out=h)
+    h -= steps
+    return h
+
+
 def local_alignment(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
     """(score, start and end in the window, start and end in the item) of the best local alignment. Words numbered 0
-    match nothing."""
-    n, m = len(item), len(window)
-    steps = np.arange(m + 1) * -GAP
-    best, rows = (0, 0, 0), [np.zeros(m + 1, np.int64)]
-    for i in range(1, n + 1):
-        up = rows[-1]
-        h = np.zeros(m + 1, np.int64)
-        h[1:] = np.maximum(0, np.maximum(up[:-1] + np.where(window == item[i - 1], MATCH, MISMATCH), up[1:] + GAP))
-        h = np.maximum.accumulate(h + steps) - steps
-        rows.append(h)
-        j = int(h.argmax())
-        if h[j] > best[0]:
-            best = (int(h[j]), i, j)
-    score, i, j = best
-    end_i, end_j = i, j
-    while i and j and rows[i][j] > 0:
-        if rows[i][j] == rows[i - 1][j - 1] + (MATCH if window[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, j, end_j, i, end_i
+    match nothing. Two rows of scores are held: the first pass gives the end; a second one, backwards from there, gives the
+    nearest start that reaches the score. An alignment with a score above 0 spans fewer than three times as many words of the
+    window as of the item, so the second pass looks no further back."""
+    steps = np.arange(len(window) + 1, dtype=np.int32) * -GAP
+    row, score, end_i, end_j = np.zeros(len(window) + 1, np.int32), 0, 0, 0
+    for i, word in enumerate(item, 1):
+        row = _next_row(row, window, word, 0, steps, 0)
+        j = int(row.argmax())
+        if row[j] > score:
+            score, end_i, end_j = int(row[j]), i, j
+    if not score:
+        return 0, 0, 0, 0, 0
+    back = window[max(0, end_j - 3 * end_i) : end_j][::-1]
+    steps = steps[: len(back) + 1]
+    row, never = -steps, np.iinfo(np.int32).min // 2
+    for i, word in enumerate(item[:end_i][::-1], 1):
+        row = _next_row(row, back, word, i * GAP, steps, never)
+        j = int(row.argmax())
+        if row[j] == score:
+            return score, end_j - j, end_j, end_i - i, end_i
+    raise AssertionError("an alignment that ends somewhere starts somewhere")
 
 
 def fit(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_bits: float = MIN_BITS, block_words: int = BLOCK_WORDS,
         item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> list[Index]:
-    """An index for each block of items. Null texts, null ids and items of fewer than n words are left out."""
+    """An index for each block of items. Null texts, null ids and items without a word are left out."""
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
@@ -116,7 +129,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, min_bits: fl
 
 
 def _index(items: list[tuple[int, list[str]]], docs: DataFrame, text_col: str, n: int, min_bits: float) -> Index:
-    items = [(i, w) for i, w in items if len(w) >= n]
+    items = [(i, w) for i, w in items if w]
     number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,12 +151,29 @@ def _index(items: list[tuple[int, list[str]]], docs: DataFrame, text_col: str, n
             bits[r["word"]] = np.log2(every / r["n"])
     found: list[tuple[int, int, int]] = []
     words = [np.array([number[w] for w in ws], np.int64) for _, ws in items]
+    short: dict[int, list[tuple[int, int]]] = {}
     for k, ids in enumerate(words):
+        if len(ids) < n:
+            short.setdefault(len(ids), []).append((int(codes(ids, len(ids))[0]), k))
+            continue
         told = np.convolve(bits[ids], np.ones(n), "valid")
         keep = told >= min(min_bits, np.sort(told)[::-1][: ALWAYS][-1])
         found += [(int(c), k, int(p)) for p, c in enumerate(codes(ids, n)) if keep[p]]
     found.sort()
-    return Index([i for i, _ in items], words, number, np.array([c for c, _, _ in found], np.uint64), np.array([k for _, k, _ in found], np.int64), np.array([p for _, _, p in found], np.int64), n)
+    return Index([i for i, _ in items], words, number, np.array([c for c, _, _ in found], np.uint64), np.array([k for _, k, _ in found], np.int64), np.array([p for _, _, p in found], np.int64), n,
+                 {size: (np.array([c for c, _ in sorted(own)], np.uint64), np.array([k for _, k in sorted(own)], np.int64)) for size, own in sorted(short.items())})
+
+
+def _whole(index: Index, ids: np.ndarray) -> dict[int, tuple[int, int]]:
+    """First span of each short item whose words all follow each other in a document."""
+    out: dict[int, tuple[int, int]] = {}
+    for size, (code, owner) in index.short.items():
+        own, first = np.unique(codes(ids, size), return_index=True)
+        place = np.minimum(np.searchsorted(own, code), max(0, len(own) - 1))
+        for k in np.flatnonzero(own[place] == code) if len(own) else ():
+            at = int(first[place[k]])
+            out[int(owner[k])] = (at, at + size)
+    return out
 
 
 def _windows(index: Index, at: np.ndarray, code: np.ndarray, n_words: int) -> dict[int, list[list[int]]]:
@@ -181,16 +211,16 @@ def leaks(indexes: list[Index], text: Column, threshold: float = THRESHOLD) -> C
             return pd.Series([one(t, memo[0]) for t in texts])
 
         def one(t: str | None, number: Memo) -> list:
-            if not t or not len(index.seeds):
+            if not t or not index.items:
                 return []
             words = t.split()
             ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             ids = ids[ids >= 0]
             code = codes(ids, index.n)
-            at = np.nonzero(code)[0]
+            at = np.nonzero(code)[0] if len(index.seeds) else np.empty(0, np.int64)
             near = np.searchsorted(index.seeds, code[at])
-            at = at[index.seeds[np.minimum(near, len(index.seeds) - 1)] == code[at]]
-            out = []
+            at = at[index.seeds[np.minimum(near, len(index.seeds) - 1)] == code[at]] if len(at) else at
+            out = [(index.items[k], 1.0, a, b, 0, b - a) for k, (a, b) in _whole(index, ids).items()]
             for k, spans in _windows(index, at, code[at], len(ids)).items():
                 item, best = index.words[k], (0.0, 0, 0, 0, 0)
                 for lo, hi in spans:

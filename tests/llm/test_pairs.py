@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -124,6 +126,28 @@ def test_repeated_is_every_common_run(a, b):
     assert op1_lines.repeated(a, b, words(b), 20) == sorted(want)
 
 
+def test_nothing_goes_without_alignment(monkeypatch):
+    """Lines go because they are aligned: without an alignment none does."""
+    a, b = [1, 2, 3, 4, 9, 5, 6], [5, 6, 7, 1, 2, 3]
+    words = [15, 15, 4, 15, 15, 4]
+    assert op1_lines.repeated(a, b, words, 20) == [0, 1, 3, 4, 5]
+    monkeypatch.setattr(op1_lines, "patience", lambda x, y: [])
+    assert op1_lines.repeated(a, b, words, 20) == []
+
+
+@pytest.mark.parametrize("kinds", [2, 8, 1000])
+def test_long_repetitive_documents(kinds):
+    """Tens of thousands of lines of few kinds, in another order too, take seconds, not hours."""
+    r = random.Random(kinds)
+    a, b = ([r.randrange(kinds) for _ in range(30_000)] for _ in range(2))
+    start = time.monotonic()
+    assert op1_lines.repeated(a, a[15_000:] + a[:15_000], [10] * 30_000, 20) == list(range(30_000))
+    runs = set(zip(a, a[1:]))
+    assert op1_lines.repeated(a, b, [10] * 30_000, 20) == sorted({k + d for k, x in enumerate(zip(b, b[1:])) if x in runs for d in (0, 1)})
+    assert op1_lines.repeated([0, 1] * 15_000, [1, 1, 0] * 10_000, [10] * 30_000, 20) == list(range(1, 30_000))
+    assert time.monotonic() - start < 60
+
+
 # --- Jaccard join
 
 @pytest.mark.parametrize("a, b, similarity", [([1, 2, 3, 4], [1, 3, 5, 4], (60, 100)), ([1], [1, 2], (50, 100)), ([1, 3], [1, 2, 3], (2, 3))])
@@ -244,7 +268,7 @@ def test_local_alignment_equals_the_plain_recurrence(window, item):
 
 def test_leaks_are_found_and_clean_documents_left_alone(spark):
     r = random.Random(3)
-    items = [(k, prose(700 + k, 25)) for k in range(20)] + [(50, None), (51, "too short"), (None, prose(1, 20)), (52, items_text := prose(760, 30))]
+    items = [(k, prose(700 + k, 25)) for k in range(20)] + [(50, None), (51, "too short"), (53, "Zebra, quagga!"), (54, "..."), (55, "  "), (None, prose(1, 20)), (52, items_text := prose(760, 30))]
     docs, want = [(k, prose(k, 200)) for k in range(60)], set()
     for k in range(20):
         words = items[k][1].split()
@@ -252,8 +276,8 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
             words[i] = "changed"
         docs += [(100 + k, f"{prose(200 + k, 60)} {items[k][1].upper().replace(' ', ', ')} {prose(300 + k, 60)}"), (200 + k, f"{prose(400 + k, 300)}\n{' '.join(words)}"), (300 + k, " ".join(items[k][1].split()[:6]))]
         want |= {(100 + k, k), (200 + k, k)}
-    docs += [(400, f"{items[1][1]} {prose(2, 80)} {items_text}"), (401, None), (402, "")]
-    want |= {(400, 1), (400, 52)}
+    docs += [(400, f"{items[1][1]} {prose(2, 80)} {items_text}"), (401, None), (402, ""), (403, f"{prose(9, 30)} is too short; {prose(8, 30)} TOO\nshort"), (404, "quagga zebra too shorts"), (405, "zebra quagga")]
+    want |= {(400, 1), (400, 52), (403, 51), (405, 53)}
     d, b = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     for block_words in (1_000_000, 200):
         indexes = op6_decontamination.fit(d, b, block_words=block_words)
@@ -263,6 +287,30 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
         assert all(0.5 <= r["score"] <= 1 and r["start_word"] < r["end_word"] for r in got)
 
 
+def test_items_of_few_words_are_found_whole(spark):
+    """An item below the seeds' length is found where its words follow each other, at its first place."""
+    d = documents(spark, [(1, "one, two three"), (2, "two one three two one"), (3, "one"), (4, "three"), (5, "One - two"), (6, None)])
+    b = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "two one"), (4, "two one")], "item_id long, text string")
+    got = d.select("doc_id", F.explode(op6_decontamination.leaks(op6_decontamination.fit(d, b), F.col("text"))).alias("x")).select("doc_id", "x.*").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1.0, 0, 2, 0, 2), (1, 2, 1.0, 2, 3, 0, 1), (2, 2, 1.0, 2, 3, 0, 1), (2, 3, 1.0, 0, 2, 0, 2), (2, 4, 1.0, 0, 2, 0, 2), (4, 2, 1.0, 0, 1, 0, 1), (5, 1, 1.0, 0, 2, 0, 2)]
+
+
+def test_alignment_memory_is_that_of_a_few_rows():
+    """A window of a million words with an item of 300 takes a few rows, not the whole matrix (2.4 GB)."""
+    rng = np.random.default_rng(2)
+    item, window = rng.integers(1, 50, 300), rng.integers(0, 50, 1_000_000)
+    window[700_000:700_300] = item
+    window[700_100] = 0
+    tracemalloc.start()
+    try:
+        score, a, b, c, d = op6_decontamination.local_alignment(window, item)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (score, a, b, c, d) == (2 * 299 - 1, 700_000, 700_300, 0, 300)
+    assert peak < 150_000_000
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, prose(5, 20))], "item_id long, text string")
     for d, b in ((edge_docs(spark), bench), (no_docs(spark), bench), (edge_docs(spark), bench.limit(0))):

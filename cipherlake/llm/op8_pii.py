@@ -6,8 +6,7 @@ on every candidate, for, against or not at all: the pattern it comes from, gazet
 reserved networks), the words before it, the characters around it, and digit counts and checksums. Expectation-
 maximisation over the counts of vote patterns estimates each labeler's reliability and each pattern's probability; a
 logistic classifier of span features, trained on those probabilities, decides on candidates that don't overlap a base
-span. Besides, a candidate needs two votes for it and none against, whatever the classifier says: a phone number after
-"order" stays out, but so do `phone=(555) 123-4567` and `//10[.]1[.]1[.]1/x`, as '=' and '/' at an edge are votes against.
+span, and alone: votes against are features like others, with the weight that training gives them.
 
 Texts are cut at the matches inside their task; only short pieces are exchanged, keyed by document and pattern, where
 running sums give code-point offsets. Vote patterns and feature patterns are few whatever the corpus (their number is
@@ -54,6 +53,9 @@ WORDS = {
     "phone": r"(?i)(?:phone|\btel|telefon|call|mobile|cell|fax|handy|téléphone|teléfono|portable|móvil|whatsapp)\W{0,4}(?:\w+\W{1,3})?$",
 }
 AGAINST = r"(?i)(?:version|release|isbn|issn|order|invoice|figure|section|chapter|sha|hash|token|serial|build|page|lines?)\W{0,4}$"
+# a candidate is as likely true as false before any vote: base spans, nearly all true, say nothing of the looser ones'
+# share; where hardly any vote is against, labelers keep part of their first reliability
+BALANCE, PRIOR = 0.5, 0.5
 LABELERS = ("pattern", "gazetteer", "words", "edges", "digits")
 FEATURES = ("pattern", "gazetteer", "words_for", "words_against", "open_left", "open_right", "digits", "separated", "long")
 
@@ -114,7 +116,7 @@ def votes(rows: DataFrame) -> DataFrame:
     for k, pattern in WORDS.items():
         words = F.when((kind == k) & F.rlike("before", F.lit(pattern)), 1).otherwise(words)
     against = F.rlike("before", F.lit(AGAINST))
-    left, right = F.rlike("before", F.lit(r"[\p{L}\p{N}=/_#$]$")), F.rlike("after", F.lit(r"^[\p{L}\p{N}=/_#$]"))
+    left, right = F.rlike("before", F.lit(r"[\p{L}\p{N}/_#$]$")), F.rlike("after", F.lit(r"^[\p{L}\p{N}=/_#$]"))
     check = (F.when(kind == "email", vote(F.length(match).between(6, 120), F.length(match) > 254))
              .when(kind == "ip", F.when(F.instr(match, ":") > 0, 1).when(_parts_fit(F.regexp_replace(match, r"[^0-9]+", ".")), 1).otherwise(-1))
              .when(kind == "card", F.when(n.between(12, 19) & luhn(digits), 1).otherwise(-1)).otherwise(vote(n.between(9, 15), (n < 7) | (n > 15))))
@@ -125,45 +127,57 @@ def votes(rows: DataFrame) -> DataFrame:
     })
 
 
-def reliabilities(counts: Iterable[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[float, np.ndarray]:
-    """EM over vote patterns with their counts: the share of true candidates and, for each labeler, the chances of a vote
-    against, none, for (columns) given a false or a true candidate (rows). Labelers start out better than chance, and
-    every chance has a small prior count."""
+def reliabilities(counts: Iterable[tuple[tuple[int, ...], float]], rounds: int = 50, balance: float | None = None, prior: float = 0.0) -> tuple[float, np.ndarray]:
+    """EM over vote patterns with their counts: the share of true candidates (estimated, or held at `balance`) and, for each
+    labeler, the chances of a vote against, none, for (columns) given a false or a true candidate (rows). Labelers start
+    out better than chance; that belief counts as much as four candidates, or as `prior` times all there are."""
     patterns = [(np.array(v), n) for v, n in counts]
-    share, chance = 0.5, np.tile(np.array([[0.45, 0.3, 0.25], [0.1, 0.3, 0.6]]), (len(LABELERS), 1, 1))
-    prior = chance * 4
+    share, chance = balance or 0.5, np.tile(np.array([[0.45, 0.3, 0.25], [0.1, 0.3, 0.6]]), (len(LABELERS), 1, 1))
+    believed = chance * max(4.0, prior * sum(n for _, n in patterns))
     for _ in range(rounds):
-        total, hits = np.array([1.0, 1.0]), prior.copy()
+        total, hits = np.array([1.0, 1.0]), believed.copy()
         for v, n in patterns:
             p = probability(share, chance, v)
             total += n * np.array([1 - p, p])
             for k, x in enumerate(v):
                 hits[k, :, x + 1] += n * np.array([1 - p, p])
-        share, chance = total[1] / total.sum(), hits / hits.sum(2, keepdims=True)
+        share, chance = balance or total[1] / total.sum(), hits / hits.sum(2, keepdims=True)
     return share, chance
 
 
 def probability(share: float, chance: np.ndarray, vote: np.ndarray) -> float:
-    """Chance that a candidate with these votes is true."""
+    """Chance that a candidate with these votes is true. A labeler that doesn't vote says nothing."""
     logs = np.log([1 - share, share])
     for k, x in enumerate(vote):
-        logs = logs + np.log(chance[k, :, x + 1])
+        if x:
+            logs = logs + np.log(chance[k, :, x + 1] / (chance[k, :, 0] + chance[k, :, 2]))
     return float(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50))))
 
 
-def classifier(rows: list[tuple[np.ndarray, float, float]], rounds: int = 400, rate: float = 0.5, pull: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic classifier of feature patterns with (probability, count)."""
+def classifier(rows: list[tuple[np.ndarray, float, float]], rounds: int = 50, pull: float = 0.1) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic classifier of feature patterns with (probability, count), by Newton's
+    method. The pull towards zero is in counts, so that a rare pattern tells as much in a large corpus as in a small one."""
     x = np.array([[*f, 1.0] for f, _, _ in rows]).reshape(-1, len(FEATURES) + 1)
     p, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+
+    def loss(w: np.ndarray) -> float:
+        return float(n @ (np.logaddexp(0, x @ w) - p * (x @ w)) + pull * w @ w / 2)
+
     w = np.zeros(x.shape[1])
-    n = n / max(1.0, n.sum())
     for _ in range(rounds if len(rows) else 0):
-        w -= rate * (x.T @ (n * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - p)) + pull * w)
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (n * (q - p)) + pull * w
+        step = np.linalg.solve((x.T * (n * q * (1 - q))) @ x + pull * np.eye(len(w)), slope)
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
 def _accepted(cands: DataFrame) -> DataFrame:
-    """Candidates of loose patterns that the classifier of their kind takes, with two votes for them and none against."""
+    """Candidates of loose patterns that the classifier of their kind takes."""
     table = cands.groupBy("kind", *LABELERS, *[f for f in FEATURES if f not in LABELERS]).agg(F.count("*").alias("n")).collect()
     score = F.lit(-1.0)
     for kind in KINDS:
@@ -172,14 +186,12 @@ def _accepted(cands: DataFrame) -> DataFrame:
         for r in own:
             v = tuple(r[c] for c in LABELERS)
             merged[v] = merged.get(v, 0) + r["n"]
-        share, chance = reliabilities(sorted(merged.items()))
+        share, chance = reliabilities(sorted(merged.items()), balance=BALANCE, prior=PRIOR)
         rows = sorted((tuple(r[c] for c in FEATURES), probability(share, chance, np.array([r[c] for c in LABELERS])), r["n"]) for r in own)
         w = classifier(rows)
         linear = sum((F.col(c) * F.lit(float(x)) for c, x in zip(FEATURES, w, strict=False)), F.lit(float(w[-1])))
         score = F.when(F.col("kind") == kind, linear).otherwise(score)
-    for_it = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in LABELERS), F.lit(0))
-    against = sum((F.when(F.col(c) < 0, 1).otherwise(0) for c in LABELERS), F.lit(0))
-    return cands.where(~F.col("base") & (score > 0) & (for_it >= 2) & (against == 0))
+    return cands.where(~F.col("base") & (score > 0))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

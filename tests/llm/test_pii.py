@@ -52,11 +52,13 @@ def test_query_equals_the_plain_digest(spark, sf_dir):
 
 def test_added_spans(spark):
     plain_rows = [(k, f"please mail user{k}@mail.example.com or call +1 (988) 555-{1000 + k} from host 10.0.{k % 200}.7 soon") for k in range(100)]
-    more = [(1000, "please contact jane.doe [at] example [dot] com today"), (1001, "call (988) 555-2485 today"), (1002, "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up"), (1003, "they met at the dot of noon and 555 people came"), (1004, "order 988-555-2485"), (1005, "id abc988-555-2485x")]
+    more = [(1000, "please contact jane.doe [at] example [dot] com today"), (1001, "call (988) 555-2485 today"), (1002, "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up"), (1003, "they met at the dot of noon and 555 people came"), (1004, "order 988-555-2485"), (1005, "id abc988-555-2485x"),
+            (1006, "phone=(988) 555-2485"), (1007, "invoice 988-555-2485 of may"), (1008, "contact: max (at) example (dot) org"), (1009, "release 10[.]20[.]30[.]40 is out")]
     got = {r["doc_id"]: [(s["kind"], s["base"], s["match"]) for s in r["found"]] for r in op8_pii.find(documents(spark, plain_rows + more)).collect()}
     assert got[1000] == [("email", False, "jane.doe [at] example [dot] com")]
     assert got[1001] == [("phone", False, "(988) 555-2485")] and got[1002][0][0] == "ip"
-    assert got[1003] == got[1004] == got[1005] == []
+    assert got[1003] == got[1004] == got[1005] == got[1007] == got[1009] == []
+    assert got[1006] == [("phone", False, "(988) 555-2485")] and got[1008] == [("email", False, "max (at) example (dot) org")]
     assert all(len(got[k]) == 3 and all(b for _, b, _ in got[k]) for k in range(100))
 
 
@@ -73,6 +75,18 @@ def test_em_recovers_reliabilities():
     assert (guess == truth).mean() > 0.95
 
 
+def test_the_classifier_fits_pattern_probabilities():
+    """Weights are at the optimum of the stated loss, and a rare pattern tells in a large corpus as in a small one."""
+    size = len(op8_pii.FEATURES)
+    rows = [((1,) * size, 0.95, 1000), ((0,) * size, 0.2, 300), ((1,) + (0,) * (size - 1), 0.7, 50), ((1, 1, 1, 1) + (0,) * (size - 4), 0.02, 8)]
+    score = lambda w, f: 1 / (1 + np.exp(-(np.dot(w[:-1], f) + w[-1])))
+    w = op8_pii.classifier(rows)
+    assert [score(w, f) for f, _, _ in rows] == pytest.approx([p for _, p, _ in rows], abs=0.05)
+    many = op8_pii.classifier([*rows[:3], (rows[0][0], 0.95, 10_000_000), rows[3]])
+    assert score(many, rows[3][0]) < 0.1
+    assert not op8_pii.classifier([]).any()
+
+
 def test_redaction(spark):
     rows = [(1, "to 𝒳 bob@ex.org, 10.0.0.1."), (2, "none"), (3, None), (4, "a +30569309025904 b"), (5, "4111111111111111")]
     got = {r["doc_id"]: r["text_redacted"] for r in op8_pii.redact(documents(spark, rows)).collect()}

@@ -48,6 +48,7 @@ SIMILARITY = (75, 100)
 RARE = 16
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
 TILE = 2000
+RANGE_CHARS = 48_000_000  # characters of text whose tokens, about 8 million, one range counts
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -305,9 +306,11 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
     if not similarity[1] <= 2 * similarity[0] <= 2 * similarity[1]:
         raise ValueError("similarity must be from 1/2 to 1")
     spark = docs.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if ranges is None:  # as many as the texts ask for, so that what one task counts doesn't grow with the corpus
+        chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     sets = cut(_sets(_answers(_blocks(rows, width, ranges), ranges), similarity, rare).withColumn("id", F.col("id").cast(kind)))
     release(spark)
 
@@ -362,9 +365,10 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = S
             outside = outside.select("entry", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("ref", "n", "place", "root")])
             found = open_.join(outside, "entry").where((F.col("root") != F.col("c_root")) & may_link("", "c_")).select(*pair("ref", "c_ref"))
         more = cut(linked(found.distinct(), pool, similarity))
-        links = links.unionAll(more)
+        # what is joined already stands as stars around the roots; only those and the new links go through the rounds again
+        joined = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         del held, mixed, found
-        roots = components(links, "a", "b")
+        roots = components(joined.unionAll(more), "a", "b")
         if last:
             break
 

@@ -241,3 +241,34 @@ def test_blocks_bound_the_windows(spark):
 def test_blocks_need_room_for_contexts(spark):
     with pytest.raises(ValueError, match="pieces"):
         S.rule_scan(as_files(spark, [("a.go", "go", "md5")]), block=10)
+
+
+def test_derived_files_are_built_by_many_tasks(spark, sf_dir):
+    """A seed table of one row group is one task when it is read; the files made from it are not."""
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    assert C.code_files(spark, sf_dir).rdd.getNumPartitions() >= 8
+
+
+def test_texts_with_marks_are_cut_as_others(spark):
+    """The mark that stands around matches may occur in a text."""
+    text = f"x{S.MARK} md5 {S.MARK}md5{S.MARK}\nsha1 {S.MARK}{S.MARK}"
+    rows = [("r/a.c", "r", "c", text), ("r/b.c", "r", "c", text.replace(S.MARK, "~")), ("r/c.c", "r", "c", S.MARK + "nothing")]
+    f = spark.createDataFrame(rows, "path string, repo string, language string, content string")
+    rules = [RU.Rule("a", "md5", "low", message="a"), RU.Rule("b", r"sha1\s|md5", "low", message="b")]
+    got = {p: sorted((r["rule_id"], r["pos"], r["line"], r["col"], r["match_text"], r["context"].replace(S.MARK, "~")) for r in S.rule_scan(f, rules).filter(F.col("path") == p).collect())
+           for p in ("r/a.c", "r/b.c", "r/c.c")}
+    want = sorted((r.rule_id, m.start(), text[:m.start()].count("\n") + 1, m.start() - text[:m.start()].rfind("\n"), m.group(), text.replace(S.MARK, "~"))
+                  for r in rules for m in re.finditer(r.pattern, text))
+    assert got == {"r/a.c": want, "r/b.c": want, "r/c.c": []}
+
+
+def test_no_scan_method_is_too_long_to_compile(spark, sf_dir):
+    """The JVM interprets methods of over 8,000 bytes, however often they run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = S.l0_scan(C.file_context(C.code_files(spark, sf_dir)))._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000

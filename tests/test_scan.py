@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cipherlake.functions import text as T
 from cipherlake.operators import rules as RU
 from cipherlake.operators import scan as S
 from cipherlake.operators import structural as ST
@@ -272,3 +273,37 @@ def test_no_scan_method_is_too_long_to_compile(spark, sf_dir):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
+
+
+def test_no_filter_matches_a_text_a_second_time(spark, sf_dir):
+    files = C.file_context(C.code_files(spark, sf_dir))
+    plan = S.l0_scan(files)._jdf.queryExecution().optimizedPlan()
+    while True:  # the one chain from the findings down to the files
+        if plan.nodeName() in ("Filter", "Union"):
+            assert "regexp_replace" not in plan.expressions().toString()
+        if plan.children().size() != 1:
+            break
+        plan = plan.children().apply(0)
+
+
+def test_first_characters_hide_no_match():
+    said = {r.pattern: T.first_characters(r.pattern) for r in RU.l0_rules()}
+    assert sum(map(bool, said.values())) > 40
+    assert T.first_characters(r"(?i)\b(?:md5|sha1|3des)\b") == "3MSms"
+    for pattern in (r"(a|b)?c", r"(a|b)|c", r"(a?b|c)", r"(a|)", r"((a)|b)", r"(a|b){0,1}c", r"(?!a)", r"a|b", r"(ab(?i)|cd)", r"\b(a\Q)|b\E|c)", r"(a[x[(]]|b)"):
+        assert T.first_characters(pattern) == ""
+
+
+def test_patterns_with_first_characters_match_the_same(spark):
+    text = "\n".join(w.replace("a", x) for x in ("a", "A", "é") for s in C.SNIPPETS for w in s[2]) + "\nMD5 xmd5 rsa.New 1024 ECDSA.generate Falcon-512 test md5 TEST ssl"
+    patterns = [r.pattern for r in RU.l0_rules()]
+    both = [F.size(F.regexp_extract_all(F.col("t"), F.lit(p), F.lit(0))) for pattern in patterns for p in ("(?d)" + pattern, T.java_pattern(pattern))]
+    row = spark.createDataFrame([(text,)], "t string").select(*[c.alias(str(i)) for i, c in enumerate(both)]).first()
+    assert row[0::2] == row[1::2] and sum(n > 0 for n in row[0::2]) > 25
+
+
+def test_any_literal_leaves_out_words_that_hold_others(spark):
+    words = ["tls", "dnstls", "ssl", "ssl", "openssl"]
+    texts = ["a dnstls b", "openssl", "SSL", "x", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.any_literal(F.col("t"), words)).collect()]
+    assert got == [None if t is None else any(w in t for w in words) for t in texts]

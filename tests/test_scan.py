@@ -307,3 +307,13 @@ def test_any_literal_leaves_out_words_that_hold_others(spark):
     texts = ["a dnstls b", "openssl", "SSL", "x", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.any_literal(F.col("t"), words)).collect()]
     assert got == [None if t is None else any(w in t for w in words) for t in texts]
+
+
+def test_filters_on_files_stay_behind_the_deal(spark, sf_dir):
+    """A filter on a text that is built from a seed row runs in the many tasks, not in the one that reads the seed."""
+    found = C.code_files(spark, sf_dir).filter(F.col("content").rlike("md5"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.split("RepartitionByExpression")[0].split("\n") if "RLIKE" in line.upper()]
+    below = "RepartitionByExpression".join(plan.split("RepartitionByExpression")[1:])
+    assert above and "Generate" in plan
+    assert all("RLIKE" not in part.split("Relation [")[0].upper() for part in below.split("RepartitionByExpression"))

@@ -317,3 +317,28 @@ def test_filters_on_files_stay_behind_the_deal(spark, sf_dir):
     below = "RepartitionByExpression".join(plan.split("RepartitionByExpression")[1:])
     assert above and "Generate" in plan
     assert all("RLIKE" not in part.split("Relation [")[0].upper() for part in below.split("RepartitionByExpression"))
+
+
+def test_positions_need_no_sort_and_no_window(spark, sf_dir):
+    """Positions, contexts and the dedupe by line are told in the row that holds the text."""
+    for found in (S.l0_scan(C.file_context(C.code_files(spark, sf_dir))), S.rule_scan(C.file_context(C.code_files(spark, sf_dir), "base"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, S.RUN, S.RUN + 1, 10 * S.RUN + 3])
+def test_running_totals_of_any_length(spark, n):
+    items = F.lit(list(range(n))).cast("array<bigint>") if n else F.array().cast("array<bigint>")
+    got = spark.range(1).select(S.running(items, F.lit(7).cast("bigint"), lambda s, x: s + x)).first()[0]
+    assert got == [7 + sum(range(i)) for i in range(n)]
+
+
+def test_word_lists_are_held_as_by_substring_tests(spark):
+    lists = [["md5", "a.b"], [], ["("], ["é+", "x|y"]]
+    texts = ["md5 (", "a.b", "axb", "", None, "é+x|y(", "éé x y"]
+    want = [[k for k, words in enumerate(lists) if t is not None and any(w in t for w in words)] for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    assert sorted(map(str, (r[0] for r in df.select(T.lists_held(F.col("t"), lists)).collect()))) == sorted(map(str, want))
+    flags = spark.createDataFrame([(texts,), ([],), (texts[:1],)], "ts array<string>").select(T.word_flags(F.col("ts"), lists)).collect()
+    masks = [sum(1 << k for k in w) for w in want]
+    assert [r[0] for r in flags] == [masks, [], masks[:1]]

@@ -17,24 +17,30 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
+def _words(words: list[str]) -> str:
+    return "array(" + ", ".join(map(_quoted, words)) + ")" if words else "cast(array() as array<string>)"
+
+
 def _rule_struct(r: Rule) -> str:
-    languages = "array(" + ", ".join(_quoted(x.lower()) for x in r.languages) + ")" if r.languages else "cast(array() as array<string>)"
-    return f"named_struct('rule_id', {_quoted(r.rule_id)}, 'severity', {_quoted(r.severity)}, 'languages', {languages}, 'regex', {_quoted(java_pattern(r.pattern))})"
+    listed = f"'languages', {_words([x.lower() for x in r.languages])}, 'guards', {_words(r.guards)}"
+    return f"named_struct('rule_id', {_quoted(r.rule_id)}, 'severity', {_quoted(r.severity)}, {listed}, 'regex', {_quoted(java_pattern(r.pattern))})"
 
 
 def scan_expression(rules: list[Rule]) -> str:
     """Array of all matches in ``content`` of the rules for ``language``, in the order of rules and positions.
 
-    A match's place follows from the text before it: the pieces between matches and the matches themselves."""
+    A rule's literals are looked for before its pattern is tried.  A match's place follows from the text before it: the
+    pieces between matches and the matches themselves."""
     listed = "array(" + ", ".join(map(_rule_struct, rules)) + ")"
     applies = "size(r.languages) = 0 or array_contains(r.languages, '*') or array_contains(r.languages, lower(language))"
-    hit = f"filter({listed}, r -> ({applies}) and rlike(content, r.regex))"
+    guarded = "size(r.guards) = 0 or exists(r.guards, g -> contains(low, g))"
+    hit = f"filter({listed}, r -> ({applies}) and ({guarded}) and rlike(content, r.regex))"
     cut = f"transform({hit}, r -> named_struct('r', r, 'pieces', split(content, r.regex, -1), 'matches', regexp_extract_all(content, r.regex, 0)))"
     before = "array_join(zip_with(slice(h.pieces, 1, i + 1), slice(h.matches, 1, i), (p, q) -> concat(p, coalesce(q, ''))), '')"
     found = f"transform(h.matches, (m, i) -> named_struct('text', m, 'head', {before}))"
     row = ("named_struct('rule_id', h.r.rule_id, 'line', size(split(f.head, '\\n', -1)), 'column', octet_length(substring_index(f.head, '\\n', -1)) + 1,"
            " 'pos', length(f.head), 'match_text', f.text, 'severity', h.r.severity)")
-    return f"flatten(transform({cut}, h -> transform({found}, f -> {row})))"
+    return f"flatten(transform(array(lower(content)), low -> flatten(transform({cut}, h -> transform({found}, f -> {row})))))"
 
 
 def register(spark: SparkSession, rules: list[Rule] | None = None) -> None:

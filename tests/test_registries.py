@@ -141,6 +141,17 @@ def test_table_function_has_the_positions_of_the_scan(spark, sf_dir):
     assert spark.sql("SELECT * FROM scan_text(CAST(NULL AS STRING), 'a', 'go')").collect() == []
 
 
+def test_table_function_looks_for_guards_first(spark):
+    """As in the scan, a rule is tried only on texts that hold one of its literals."""
+    rules = [RU.Rule("guarded", "md5", "low", guards=["sha"]), RU.Rule("free", "md5", "low")]
+    try:
+        TF.register(spark, rules)
+        got = spark.sql("SELECT t, h.rule_id FROM VALUES ('md5'), ('SHA md5') AS x(t), LATERAL scan_text(t, 'a', 'go') h").collect()
+    finally:
+        TF.register(spark)
+    assert sorted(tuple(r) for r in got) == [("SHA md5", "free"), ("SHA md5", "guarded"), ("md5", "free")]
+
+
 def test_rule_tables_of_any_size_are_scanned(spark):
     """Twenty thousand rules stay a table; few become part of the plan; matches are the same."""
     many = spark.range(20_000).select(F.format_string("r%05d", "id").alias("rule_id"), F.format_string("word%05d\\b", "id").alias("pattern"))

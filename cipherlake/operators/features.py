@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlake import fixed_values as V
 from cipherlake.functions import paths as P
-from cipherlake.functions.text import count_literal, first_match, has_any
+from cipherlake.functions.text import count_literal, first_match, has_any, let, lookup
 
 _KEYWORDS = "|".join(V.CRYPTO_KEYWORDS)
 _IMPORT = r"(?m)^\s*(?:import|from|#include|use|require|using)\b"
@@ -34,6 +34,11 @@ ROLE_PATTERNS = {
     "crypto_methods": rf"(?im)^\s*(?:pub\s+)?(?:func|def|fn|function)\b[^\n]*(?:{_KEYWORDS})",
 }
 
+# Spellings that count the same matches in less time: a match ends with its bracket, so it may begin at the last character
+# of its first word, and what can't hold the next character is not given back.
+CALLS = r"\w\s*+\("
+SPELLINGS = {STRUCTURE["c"]["functions"]: r"\w\s++\w++\s*+\((?:[^;{)]*+\))++\s*+\{"}
+
 
 def text_features(files: DataFrame) -> DataFrame:
     """Structure counts of every file, all in one projection."""
@@ -42,7 +47,7 @@ def text_features(files: DataFrame) -> DataFrame:
     branches = sum((count_literal(text, k) for k in ("if ", "for ", "while ", "switch ", "case ")), F.lit(1).cast("bigint"))
     cols = {
         "lines_of_code": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint"),
-        "function_calls": F.regexp_count(text, F.lit(r"\w+\s*\(")).cast("bigint"),
+        "function_calls": F.regexp_count(text, F.lit(CALLS)).cast("bigint"),
         "variable_declarations": F.regexp_count(text, F.lit(r"\b(var|let|const|int|string)\s+\w+")).cast("bigint"),
         "import_statements": F.regexp_count(text, F.lit(r"\b(import|include|require|use)\s+")).cast("bigint"),
         "crypto_pattern_hits": F.regexp_count(text, F.lit("(?i)(crypto|cipher|hash|encrypt|decrypt|rsa|aes|sha|md5)")).cast("bigint"),
@@ -61,16 +66,17 @@ def text_features(files: DataFrame) -> DataFrame:
 
 
 def language_structure(files: DataFrame) -> DataFrame:
-    """Counts by the file's own language tables."""
-    lang = P.language(F.col("path"), "features")
-    group = first_match([(lang == "typescript", "javascript"), (lang == "cpp", "c")], lang)
+    """Counts by the file's own language tables.  The language is looked up once and the patterns stand in lambdas: the
+    generated code of all of them is a method too long for the JVM to compile."""
+    table, unknown = V.LANGUAGE_TABLES["features"]
+    merged = {"typescript": "javascript", "cpp": "c"}
+    group = lookup({ext: merged.get(name, name) for ext, name in table.items()}, P.extension(F.col("path")), unknown)
     base = files.select("path", group.alias("language_group"), "content").filter(F.col("language_group").isin(list(STRUCTURE)))
-    cols = []
-    for what in ("functions", "variables", "classes", "pointers", "generics", "lambdas"):
-        by = [(F.col("language_group") == g, F.regexp_count("content", F.lit(t[what]))) for g, t in STRUCTURE.items()]
-        cols.append(first_match(by, 0).cast("bigint").alias(what))
-    return base.select("path", "language_group", *cols, F.regexp_count("content", F.lit(r"\w+\s*\(")).cast("bigint").alias("calls"),
-                       F.regexp_count("content", F.lit(_IMPORT)).cast("bigint").alias("imports"))
+    count = lambda text, pattern: F.regexp_count(text, F.lit(SPELLINGS.get(pattern, pattern))).cast("bigint")
+    by = lambda what: let(F.struct("language_group", "content"), lambda x: first_match(
+        [(x["language_group"] == g, count(x["content"], t[what])) for g, t in STRUCTURE.items()], F.lit(0).cast("bigint")))
+    return base.select("path", "language_group", *[by(what).alias(what) for what in ("functions", "variables", "classes", "pointers", "generics", "lambdas")],
+                       count(F.col("content"), CALLS).alias("calls"), count(F.col("content"), _IMPORT).alias("imports"))
 
 
 def role_features(files: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def role_features(files: DataFrame) -> DataFrame:
 def complexity(files: DataFrame) -> DataFrame:
     """Branch keywords plus one, and 1.5 times the calls."""
     branch = F.regexp_count("content", F.lit(r"\b(?:if|for|while|switch|match|case|catch|except)\b|\?[^?:\n]*:"))
-    calls = F.regexp_count("content", F.lit(r"\w+\s*\("))
+    calls = F.regexp_count("content", F.lit(CALLS))
     return files.select("path", (branch + 1).cast("bigint").alias("cyclomatic_complexity"), (calls * 1.5).alias("halstead_complexity"))
 
 

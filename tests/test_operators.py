@@ -78,6 +78,19 @@ def test_batches_are_full_and_responses_join_by_position(found):
     assert sizes == [3, 5, 5, 5, 5]
 
 
+def test_evaluations_are_not_sent_through_the_driver(spark):
+    """Matches made of a small table look small to Spark, however many they are; a broadcast gathers all of them."""
+    made = checkpoint(spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("i"), "id")
+                      .select((F.col("id") * 1000 + F.col("i")).alias("seq")).select("seq", F.concat(F.lit("f"), "seq").alias("finding_id"), F.concat(F.lit("finding_"), "seq").alias("fallback_id")))
+    ev = made.filter("seq % 2 = 0").select(F.when(F.col("seq") % 4 == 0, F.col("finding_id")).otherwise(F.col("fallback_id")).alias("finding_id"),
+                                           (F.col("seq") % 3 == 0).alias("is_valid"), F.lit(0.5).alias("confidence"), F.lit("low").alias("severity"))
+    out = EV.join_evaluations(made, ev)
+    rows = {r["seq"]: r for r in out.collect()}
+    assert len(rows) == 10_000 and all(r["has_ai_evaluation"] == (k % 2 == 0) and r["ai_is_valid"] == (k % 3 == 0 if k % 2 == 0 else None) for k, r in rows.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_response_statuses(spark):
     rows = [(1, 2, 'x [{"is_valid": true}, {"is_valid": false}] y'), (2, 1, '[{"is_valid": true}, {"is_valid": true}]'), (3, 3, '[{"is_valid": true}]'), (4, 1, "no")]
     got = {r["batch_id"]: (r["status"], len(r["items"] or [])) for r in RS.parse_responses(spark.createDataFrame(rows, "batch_id int, expected int, response string")).collect()}

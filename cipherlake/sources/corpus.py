@@ -93,6 +93,12 @@ def not_yet_listed(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.drop("content").join(done.select(*keys), keys, "left_anti")
 
 
+def paths_differ(files: DataFrame) -> bool:
+    """Whether no two files share a path, so that ids made of a path and a place in the file are unique.  Only paths are
+    read and counted."""
+    return not files.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
+
+
 MARKER = r"suppress:([\w*-]+)(?:\s+(line|block|file))?"
 
 

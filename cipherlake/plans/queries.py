@@ -104,8 +104,8 @@ _POS = ("path", "rule_id", "pos", "line", "col", "match_text", "context")
 
 @query("a1_corpus_scan")
 def _(s, d):
-    f = C.read_files(s, d)
-    return f.select(P.base_name(F.col("path")).alias("name"), "length", C.looks_binary(F.col("content")).alias("binary"))
+    f = C.file_heads(s, d)
+    return f.select(P.base_name(F.col("path")).alias("name"), "length", C.looks_binary(F.col("head")).alias("binary"))
 
 
 @query("a2_table_corpus", "SELECT repo, path, CAST(length(content) AS BIGINT) AS n_chars, CAST(strlen(content) AS BIGINT) AS n_bytes FROM document_files")

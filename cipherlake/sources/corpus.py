@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,36 @@ def read_files(spark: SparkSession, root: str, max_size: int | None = None, max_
     return out if max_depth is None else out.filter(P.depth(F.col("path")) - root_depth <= max_depth)
 
 
+HEAD_BYTES = 1024
+WHOLE_BYTES = 64 << 20  # files up to this size are read as one value
+
+
+def file_heads(spark: SparkSession, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, length, modified, head): all files under a root with their first bytes, for ``looks_binary``.
+
+    A value holds less than 2 GiB, and a task several copies of it, so files over ``whole_bytes`` are listed by Spark, and
+    their heads are read through the file system of their path, one kilobyte each, by threads of the driver."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumnRenamed("modificationTime", "modified")
+    head = F.substring("content", 1, HEAD_BYTES)
+    small = raw.filter(F.col("length") <= whole_bytes).select("path", "length", "modified", head.alias("head"))
+    large = raw.filter(F.col("length") > whole_bytes).select("path", "length", "modified")
+    conf, hadoop = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs
+
+    def first_bytes(row) -> tuple[str, bytes]:
+        path = hadoop.Path(row["path"])
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            return row["path"], bytes(stream.readNBytes(HEAD_BYTES))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(first_bytes, large.select("path").toLocalIterator()))
+    if heads:
+        small = small.unionByName(large.join(spark.createDataFrame(heads, "path string, head binary"), "path"))
+    return small.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+
+
 def oversized(files: DataFrame, max_size: int = V.MAX_FILE_SIZE) -> DataFrame:
     """(path, length, reason) of the files that a size limit leaves out."""
     size = F.col("length") if "length" in files.columns else F.octet_length("content")

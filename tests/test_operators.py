@@ -156,6 +156,21 @@ def test_file_source(spark, tmp_path):
     assert "go-rsa-keygen" in {r["rule_id"] for r in out["findings"].collect()}
 
 
+def test_files_beyond_a_value_are_listed_and_sniffed(spark, tmp_path):
+    """Sparse files of over 2 GiB, which no value holds, and the same rows whether heads or whole files are read."""
+    (tmp_path / "sub").mkdir()
+    for name, start, size in (("a b%20.go", b"package main\n" * 100, None), ("zero", b"x\x00", None),
+                              ("sub/text", b"line of text\n" * 100, (2 << 30) + 10), ("sub/binary", b"x" * 1023, (2 << 30) + 10), ("sub/late", b"x" * 1024, (2 << 30) + 10)):
+        with open(tmp_path / name, "wb") as f:
+            f.write(start)
+            f.truncate(size)
+    rows = {r["name"]: (r["length"], r["binary"]) for r in Q.QUERIES["a1_corpus_scan"](spark, str(tmp_path)).collect()}
+    big = (2 << 30) + 10
+    assert rows == {"a b%20.go": (1300, False), "zero": (2, True), "text": (big, False), "binary": (big, True), "late": (big, False)}
+    shorter = [C.file_heads(spark, str(tmp_path), n).filter("length < 10000").select("path", "length", "modified", "head") for n in (10, 1 << 20)]
+    assert sorted(map(tuple, shorter[0].collect())) == sorted(map(tuple, shorter[1].collect()))
+
+
 def test_layered_stages_add_up(spark, sf_dir):
     out = J.layered_findings(C.file_context(C.code_files(spark, sf_dir), "layered"))
     assert out["all"].count() == sum(out[s].count() for s in ("L0", "L1", "L2"))

@@ -18,6 +18,7 @@ from cipherlake.operators import report as RP
 from cipherlake.operators import risk as RK
 from cipherlake.operators import training as TR
 from cipherlake.operators.ordering import global_index
+from cipherlake.plans import catalog
 from cipherlake.plans import jobs as J
 from cipherlake.plans import queries as Q
 from cipherlake.session import checkpoint
@@ -91,6 +92,12 @@ def test_evaluations_are_not_sent_through_the_driver(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["j3_stratified_split", "j14_labelled_coverage"])
+def test_labelled_queries_broadcast_no_evaluations(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key" not in plan and "BroadcastHashJoin [finding_id" not in plan and "SortMergeJoin [key" in plan
+
+
 def test_response_statuses(spark):
     rows = [(1, 2, 'x [{"is_valid": true}, {"is_valid": false}] y'), (2, 1, '[{"is_valid": true}, {"is_valid": true}]'), (3, 3, '[{"is_valid": true}]'), (4, 1, "no")]
     got = {r["batch_id"]: (r["status"], len(r["items"] or [])) for r in RS.parse_responses(spark.createDataFrame(rows, "batch_id int, expected int, response string")).collect()}
